@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelark.functions.vectors import vector, zeros
+from framelark.session import cut_lineage
 
 SEGMENT = 65_536
 SALTS = 16
@@ -23,15 +24,21 @@ def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    bucket: Column,
+    bucket: Column | None,
     name: str = "frame_ix",
 ) -> DataFrame:
     """Number rows 0.. within ``keys`` along ``order``.
 
     ``bucket`` must not decrease along ``order``. Rows are numbered inside
     (keys, bucket); the bucket counts, a far smaller table, give the offsets.
+    Without a bucket, rows are range-partitioned by keys and order, and the
+    partition, once written down, serves as one.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    if bucket is None:
+        spread = df.repartitionByRange(*keys, *order)
+        tagged = cut_lineage(spread.withColumn("_bucket", F.spark_partition_id()))
+    else:
+        tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
@@ -51,6 +58,30 @@ def number_rows(
     )
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], ix: str, value: Column, name: str,
+    segment: int | None = None,
+) -> DataFrame:
+    """Add the sum of ``value`` up to and including each row, along ``ix``.
+
+    Segment sums give each segment its starting point.
+    """
+    segment = SEGMENT if segment is None else segment
+    tagged = df.withColumn("_v", value).withColumn("_seg", F.floor(F.col(ix) / segment))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offsets = tagged.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_sum")).select(
+        *keys, "_seg", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy(*keys, "_seg").orderBy(ix)
+    return (
+        tagged.withColumn("_local", F.sum("_v").over(inside))
+        .join(offsets, [*keys, "_seg"])
+        .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
+    )
+
+
 def salted_join(
     frames: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner",
     spread: Column | None = None, salts: int = SALTS,

@@ -4,12 +4,14 @@ Labels are rows ``(utt, phone_ix, t_end, symbol)`` in time order, ``phone_ix``
 running from 0. A phone starts where the one before it ends.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import end_frame, nearest_frame, start_frame
 from framelark.operators.frames import (
-    core_only, lengths, salted_join, segment_window, segmented,
+    core_only, lengths, running_total, salted_join, segment_window, segmented,
 )
 
 SILENCE = "#"
@@ -234,35 +236,51 @@ def _label_words(lines: DataFrame, fields: int, silences: list[str]) -> DataFram
     )
 
 
-def word_transcripts(lines: DataFrame, fields: int = 3) -> DataFrame:
-    """Words of an utterance: the last field of rows that open a word."""
-    rows = _label_words(lines, fields, [])
-    return _joined(rows.where("opens").select("utt", "line_ix", F.col("last").alias("s")), " ")
+def transcript_words(lines: DataFrame, fields: int = 3) -> DataFrame:
+    """``(utt, word_ix, word)``: the last field of rows that open a word."""
+    rows = _label_words(lines, fields, []).where("opens")
+    rows = running_total(rows, ["utt"], "line_ix", F.lit(1), "_rank")
+    return rows.select(
+        "utt", (F.col("_rank") - 1).cast("int").alias("word_ix"), F.col("last").alias("word")
+    )
 
 
-def phonetic_transcripts(
-    lines: DataFrame, fields: int = 3, silences: tuple[str, ...] = ()
+def phonetic_words(
+    lines: DataFrame, fields: int = 3, silences: Sequence[str] = ()
 ) -> DataFrame:
-    """Phones joined by '-' within words, words joined by blanks.
+    """``(utt, word_ix, word)``: the phones of each word joined by '-'.
 
-    A phone that opens a word is preceded by a blank and one that goes on by a
-    hyphen, so one ordered concatenation gives the text and words need no
-    grouping of their own.
+    A row that opens a word brings its first phone, rows that go on the next
+    ones; silent rows are skipped. Phones before any word form word -1.
     """
-    rows = _label_words(lines, fields, list(silences)).where(~F.col("silent"))
-    piece = F.when(F.col("opens"), F.concat(F.lit(" "), F.col("before"))).when(
-        F.col("goes_on"), F.concat(F.lit("-"), F.col("last"))
+    rows = _label_words(lines, fields, list(silences)).where(
+        ~F.col("silent") & (F.col("opens") | F.col("goes_on"))
+    )
+    rows = running_total(
+        rows, ["utt"], "line_ix", F.col("opens").cast("int"), "_rank"
+    ).withColumn("word_ix", (F.col("_rank") - 1).cast("int"))
+    phone = F.when(F.col("opens"), F.col("before")).otherwise(F.col("last"))
+    return _ordered_text(
+        rows.select("utt", "word_ix", "line_ix", phone.alias("s")),
+        ["utt", "word_ix"], "line_ix", "-", "word",
+    )
+
+
+def transcript_text(words: DataFrame, segment: int = 1024) -> DataFrame:
+    """One string per utterance, joined in two steps so that the last one
+    moves pieces of text and not words."""
+    pieces = _ordered_text(
+        words.select(
+            "utt", F.floor(F.col("word_ix") / segment).alias("_seg"),
+            "word_ix", F.col("word").alias("s"),
+        ),
+        ["utt", "_seg"], "word_ix", " ", "s",
     )
-    rows = rows.select("utt", "line_ix", piece.alias("s")).where(F.col("s").isNotNull())
-    joined = _joined(rows, "")
-    # A continuation without a word before it begins with a stray hyphen.
-    clean = F.regexp_replace(F.col("transcript"), r"(^|\s)-+", "$1")
-    clean = F.regexp_replace(clean, r"-+(?=\s|$)", "")
-    return joined.withColumn("transcript", F.trim(clean))
-
-
-def _joined(rows: DataFrame, joiner: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("line_ix", "s")))
-    return rows.groupBy("utt").agg(
-        F.array_join(F.transform(ordered, lambda r: r["s"]), joiner).alias("transcript")
+    return _ordered_text(pieces, ["utt"], "_seg", " ", "transcript")
+
+
+def _ordered_text(rows, keys: list[str], order: str, joiner: str, name: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(order, "s")))
+    return rows.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda r: r["s"]), joiner).alias(name)
     )

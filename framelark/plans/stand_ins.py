@@ -55,11 +55,6 @@ CTE = {
     SELECT utt, symbol AS a, lead(symbol, 1) OVER w AS b, lead(symbol, 2) OVER w AS c
     FROM fx_phones WINDOW w AS (PARTITION BY utt ORDER BY phone_ix)) t
   WHERE c IS NOT NULL)""",
-    "doc_tri": """doc_tok AS (
-  SELECT doc_id AS utt, list_filter(string_split_regex(text, '\\s+'), x -> x <> '') AS tok FROM documents),
-doc_tri AS (
-  SELECT DISTINCT utt, tok[i] || ' ' || tok[i + 1] || ' ' || tok[i + 2] AS triphone
-  FROM (SELECT utt, tok, unnest(generate_series(1, len(tok) - 2)) AS i FROM doc_tok))""",
 }
 
 
