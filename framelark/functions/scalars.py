@@ -39,6 +39,27 @@ def nearest_frame(seconds: Column, sampling_rate: float) -> Column:
     return F.rint(seconds * F.lit(float(sampling_rate))).cast("int")
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Half-even decimal rounding of the exact binary value.
+
+    Where the scaled product lands on a half, its rounding error, found by
+    splitting ``x`` into two short halves, tells the true side.
+    """
+    scale = F.lit(float(10**digits))
+    product = x * scale
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    half = product - below == 0.5
+    whole = (
+        F.when(half & (error > 0), below + 1)
+        .when(half & (error < 0), below)
+        .otherwise(F.rint(product))
+    )
+    return whole / scale
+
+
 def unordered_pair(a: Column, b: Column) -> Column:
     return F.concat_ws("_", F.least(a, b), F.greatest(a, b))
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelark.functions.scalars import end_frame, nearest_frame, start_frame
+from framelark.functions.scalars import end_frame, nearest_frame, round_exact, start_frame
 from framelark.operators.frames import (
     core_only, lengths, running_total, salted_join, segment_window, segmented,
 )
@@ -181,8 +181,8 @@ def items(
     inner = salted_join(inner, head, ["utt"], spread=F.col("phone_ix"))
     return inner.select(
         "utt", "phone_ix",
-        F.bround(F.col("t_start") - zero, 3).alias("onset"),
-        F.bround(F.col("t_end") - zero, 3).alias("offset"),
+        round_exact(F.col("t_start") - zero, 3).alias("onset"),
+        round_exact(F.col("t_end") - zero, 3).alias("offset"),
         F.col("symbol").alias("phone"),
         F.concat_ws("_", "_prev", "_next").alias("context"),
         "speaker",

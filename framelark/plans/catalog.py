@@ -1,4 +1,4 @@
 """Importing the query modules fills the registry."""
 
-from framelark.plans import queries_corpus, queries_frames  # noqa: F401
+from framelark.plans import queries_corpus, queries_frames, queries_models  # noqa: F401
 from framelark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -109,8 +109,20 @@ fx_items AS (SELECT n.utt, n.phone_ix, n.t_start - zero AS onset, n.t_end - zero
              FROM fx_near n JOIN head USING (utt) WHERE prev IS NOT NULL AND nxt IS NOT NULL)"""
 
 
+def _round3(x: str) -> str:
+    """SQL for half-even rounding of the exact binary value to 3 decimals."""
+    high = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    p = f"({x} * 1000.0::DOUBLE)"
+    error = f"(({high} * 1000.0::DOUBLE - {p}) + ({x} - {high}) * 1000.0::DOUBLE)"
+    half = f"{p} - floor({p}) = 0.5"
+    return (
+        f"(CASE WHEN {half} AND {error} > 0 THEN floor({p}) + 1 "
+        f"WHEN {half} AND {error} < 0 THEN floor({p}) ELSE round_even({p}, 0) END / 1000.0::DOUBLE)"
+    )
+
+
 @query("abx_items", with_views("fx_frames", "fx_phones") + f""", {_ITEMS}
-SELECT utt, phone_ix, round_even(onset, 3) + 0.0 AS onset, round_even(offset_s, 3) + 0.0 AS "offset", phone, context, speaker
+SELECT utt, phone_ix, {_round3("onset")} + 0.0 AS onset, {_round3("offset_s")} + 0.0 AS "offset", phone, context, speaker
 FROM fx_items""")
 def abx_items(spark, sf_dir):
     return ph.items(si.phones(spark, sf_dir)).withColumns(
