@@ -20,17 +20,14 @@ SEGMENT = 65_536
 SALTS = 16
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    bucket: Column | None,
-    name: str = "frame_ix",
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+    bucket: Column | None, value: Column, name: str,
 ) -> DataFrame:
-    """Number rows 0.. within ``keys`` along ``order``.
+    """Add the sum of ``value`` up to and including each row, along ``order``.
 
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside
-    (keys, bucket); the bucket counts, a far smaller table, give the offsets.
+    ``bucket`` must not decrease along ``order``. Rows are summed up inside
+    (keys, bucket); the bucket sums, a far smaller table, give the offsets.
     Without a bucket, rows are range-partitioned by keys and order, and the
     partition, once written down, serves as one.
     """
@@ -39,47 +36,39 @@ def number_rows(
         tagged = cut_lineage(spread.withColumn("_bucket", F.spark_partition_id()))
     else:
         tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = sizes.select(
+    sums = tagged.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
         F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = tagged.withColumn("_local", F.row_number().over(inside))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    local = tagged.withColumn("_local", F.sum(value).over(inside))
     match = F.col("_bucket").eqNullSafe(F.col("_b"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return numbered.join(offsets, match).select(
-        *df.columns, (F.col("_offset") + F.col("_local") - 1).cast("int").alias(name)
+    return local.join(offsets, match).select(
+        *df.columns, (F.col("_offset") + F.col("_local")).alias(name)
     )
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], ix: str, value: Column, name: str,
-    segment: int | None = None,
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+    bucket: Column | None, name: str = "frame_ix",
 ) -> DataFrame:
-    """Add the sum of ``value`` up to and including each row, along ``ix``.
+    """Number rows 0.. within ``keys`` along ``order``, as in ``running_total``."""
+    rows = running_total(df, keys, order, bucket, F.lit(1), name)
+    return rows.withColumn(name, (F.col(name) - 1).cast("int"))
 
-    Segment sums give each segment its starting point.
-    """
-    segment = SEGMENT if segment is None else segment
-    tagged = df.withColumn("_v", value).withColumn("_seg", F.floor(F.col(ix) / segment))
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = tagged.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_sum")).select(
-        *keys, "_seg", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, "_seg").orderBy(ix)
-    return (
-        tagged.withColumn("_local", F.sum("_v").over(inside))
-        .join(offsets, [*keys, "_seg"])
-        .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
-    )
+
+def by_segment(ix: str, segment: int | None = None) -> Column:
+    """Bucket for a running total along a position that already exists."""
+    return F.floor(F.col(ix) / (SEGMENT if segment is None else segment))
 
 
 def salted_join(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from framelark.functions.scalars import end_frame, nearest_frame, round_exact, start_frame
 from framelark.operators.frames import (
-    core_only, lengths, running_total, salted_join, segment_window, segmented,
+    by_segment, core_only, lengths, number_rows, running_total, salted_join,
+    segment_window, segmented,
 )
 
 SILENCE = "#"
@@ -239,10 +240,8 @@ def _label_words(lines: DataFrame, fields: int, silences: list[str]) -> DataFram
 def transcript_words(lines: DataFrame, fields: int = 3) -> DataFrame:
     """``(utt, word_ix, word)``: the last field of rows that open a word."""
     rows = _label_words(lines, fields, []).where("opens")
-    rows = running_total(rows, ["utt"], "line_ix", F.lit(1), "_rank")
-    return rows.select(
-        "utt", (F.col("_rank") - 1).cast("int").alias("word_ix"), F.col("last").alias("word")
-    )
+    rows = number_rows(rows, ["utt"], ["line_ix"], by_segment("line_ix"), "word_ix")
+    return rows.select("utt", "word_ix", F.col("last").alias("word"))
 
 
 def phonetic_words(
@@ -257,7 +256,7 @@ def phonetic_words(
         ~F.col("silent") & (F.col("opens") | F.col("goes_on"))
     )
     rows = running_total(
-        rows, ["utt"], "line_ix", F.col("opens").cast("int"), "_rank"
+        rows, ["utt"], ["line_ix"], by_segment("line_ix"), F.col("opens").cast("int"), "_rank"
     ).withColumn("word_ix", (F.col("_rank") - 1).cast("int"))
     phone = F.when(F.col("opens"), F.col("before")).otherwise(F.col("last"))
     return _ordered_text(

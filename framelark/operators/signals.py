@@ -4,18 +4,18 @@ Audio is kept in blocks ``(utt, block_ix, samples)`` of at most ``BLOCK``
 samples, so that no row holds a whole recording.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions import kernels
-from framelark.functions.vectors import dot, vector
+from framelark.functions.vectors import dot
 from framelark.operators.frames import (
-    core_only, dynamic_features, lengths, running_total, salted_join,
+    by_segment, core_only, dynamic_features, lengths, running_total, salted_join,
     segment_window, segmented,
 )
 from framelark.operators.models import list_column, map_vectors, matrix
@@ -246,7 +246,8 @@ def fill_gaps(frames: DataFrame, width: int, segment: int | None = None) -> Data
     broken = cells.where(gap).select("utt", "channel").distinct()
     cells = salted_join(cells, broken, ["utt", "channel"])
     cells = running_total(
-        cells, ["utt", "channel"], "frame_ix", (~gap).cast("int"), "knot", segment
+        cells, ["utt", "channel"], ["frame_ix"], by_segment("frame_ix", segment),
+        (~gap).cast("int"), "knot",
     ).withColumn("knot", F.col("knot") - 1)
     knots = segmented(cells.where(~gap), KNOT_MARGIN, "knot", segment)
     size = knots_per_segment(segment)
