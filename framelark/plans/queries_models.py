@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from framelark.operators import frames as fr
 from framelark.operators import models as md
 from framelark.operators import scoring as sc
+from framelark.operators import training as tr
 from framelark.plans import stand_ins as si
 from framelark.plans.queries_frames import _WINDOWS, _sql_delta
 from framelark.plans.registry import channels, query, r6
@@ -261,3 +262,20 @@ pred AS (SELECT c.utt, c.frame_ix, d AS i, sum(o * mean) AS x FROM cell c
 def mixture_predict(spark, sf_dir):
     rows = md.mixture_prediction(_mixture(spark, sf_dir), K, D)
     return rows.select("utt", "frame_ix", *channels("y", D))
+
+
+@query("dense_fit_step", with_views("fx_vec", "fx_vlong") + f""",
+x0 AS (SELECT utt, frame_ix, channel AS i, value AS x FROM fx_vlong WHERE channel < 60),
+o AS {_sql_layer('x0', 4, 1, '?')}
+SELECT CAST(o.i AS INT) AS channel, round(sqrt(avg((o.x - t.value) * (o.x - t.value))), 6) + 0.0 AS loss
+FROM o JOIN fx_vlong t ON t.utt = o.utt AND t.frame_ix = o.frame_ix AND t.channel = 60 + o.i GROUP BY o.i""")
+def dense_fit_step(spark, sf_dir):
+    """One Adam step over all vectors, the last four channels being targets;
+    the loss before it, per channel."""
+    rows = si.vectors(spark, sf_dir).select(
+        F.slice("feats", 1, 60).alias("feats"), F.slice("feats", 61, 4).alias("target")
+    )
+    model = md.DenseModel([], layer(60, 4, 1, "identity"))
+    _, _, per_channel = tr.fit_step(rows, model, tr.Adam())
+    table = [(i, float(x)) for i, x in enumerate(per_channel)]
+    return spark.createDataFrame(table, "channel int, loss double").withColumn("loss", r6("loss"))
