@@ -234,7 +234,7 @@ KNOT_MARGIN = 96
 
 
 def fill_gaps(frames: DataFrame, width: int, segment: int | None = None) -> DataFrame:
-    """Replace NaN by an interpolating cubic spline over the frame number.
+    """Replace NaN (or NULL) by an interpolating cubic spline over the frame number.
 
     Only channels with gaps take part. Their knots (the finite values) are
     numbered and cut into segments with a margin beyond which a spline forgets
@@ -242,7 +242,7 @@ def fill_gaps(frames: DataFrame, width: int, segment: int | None = None) -> Data
     frames are then evaluated by a join. Ends are extrapolated.
     """
     cells = frames.select("utt", "frame_ix", F.posexplode("feats").alias("channel", "value"))
-    gap = F.isnan("value")
+    gap = F.col("value").isNull() | F.isnan("value")
     broken = cells.where(gap).select("utt", "channel").distinct()
     cells = salted_join(cells, broken, ["utt", "channel"])
     cells = running_total(
@@ -301,7 +301,7 @@ def fill_gaps(frames: DataFrame, width: int, segment: int | None = None) -> Data
     rows = frames.join(filled, ["utt", "frame_ix"], "left")
     feats = F.transform(
         "feats",
-        lambda x, i: F.when(F.isnan(x), F.try_element_at("_new", i)).otherwise(x),
+        lambda x, i: F.coalesce(F.try_element_at("_new", i), x),
     )
     feats = F.when(F.col("_new").isNull(), F.col("feats")).otherwise(feats)
     return rows.withColumn("feats", feats).select(*frames.columns)

@@ -9,10 +9,11 @@ import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelark.operators.models import list_column
 from framelark.operators.signals import BLOCK, blocks, resample
 from framelark.sources.text import file_stem
 
@@ -27,6 +28,27 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     )
 
 
+def _decoded(
+    files: DataFrame, decode: Callable[[str, bytes], Iterator[dict]], schema: str
+) -> DataFrame:
+    """Rows of each file, as batches of Arrow columns (NaN stays NaN there)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for utt, content in zip(batch["utt"], batch["content"]):
+                for columns in decode(utt.as_py(), content.as_py()):
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return files.mapInArrow(run, schema)
+
+
+def _frame_batches(utt: str, data: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
+    """Key columns of a matrix's rows, a bounded number at a time."""
+    for first in range(0, len(data), ROWS_PER_BATCH):
+        part = data[first:first + ROWS_PER_BATCH]
+        ix = np.arange(first, first + len(part), dtype=np.int32)
+        yield {"utt": pa.array([utt] * len(part)), "frame_ix": pa.array(ix)}, part
+
+
 # --- audio ------------------------------------------------------------------
 
 
@@ -75,18 +97,18 @@ def read_audio(
     block: int = BLOCK,
 ) -> DataFrame:
     """``(utt, sr, block_ix, samples)``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for utt, content in zip(batch["utt"], batch["content"]):
-                rate, x = decode(content)
-                for first in range(0, len(x), block):
-                    yield pd.DataFrame({
-                        "utt": [utt], "sr": [rate], "block_ix": [first // block],
-                        "samples": [x[first:first + block]],
-                    })
-
-    return _files(spark, path, suffix).mapInPandas(
-        run, "utt string, sr int, block_ix bigint, samples array<double>"
+    def rows(utt: str, content: bytes) -> Iterator[dict]:
+        rate, x = decode(content)
+        for first in range(0, len(x), block):
+            yield {
+                "utt": pa.array([utt]), "sr": pa.array([rate], pa.int32()),
+                "block_ix": pa.array([first // block], pa.int64()),
+                "samples": list_column(x[None, first:first + block]),
+            }
+
+    return _decoded(
+        _files(spark, path, suffix), rows,
+        "utt string, sr int, block_ix bigint, samples array<double>",
     )
 
 
@@ -156,33 +178,28 @@ def decode_est(content: bytes) -> tuple[list[str], np.ndarray]:
 
 def read_est(spark: SparkSession, path: str, suffix: str = ".ema") -> DataFrame:
     """``(utt, frame_ix, time, feats)``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for utt, content in zip(batch["utt"], batch["content"]):
-                _, data = decode_est(content)
-                for first in range(0, len(data), ROWS_PER_BATCH):
-                    part = data[first:first + ROWS_PER_BATCH]
-                    yield pd.DataFrame({
-                        "utt": utt, "frame_ix": np.arange(first, first + len(part), dtype=np.int32),
-                        "time": part[:, 0], "feats": list(part[:, 2:]),
-                    })
-
-    return _files(spark, path, suffix).mapInPandas(
-        run, "utt string, frame_ix int, time double, feats array<double>"
+    def rows(utt: str, content: bytes) -> Iterator[dict]:
+        for keys, part in _frame_batches(utt, decode_est(content)[1]):
+            yield {**keys, "time": pa.array(part[:, 0]), "feats": list_column(part[:, 2:])}
+
+    return _decoded(
+        _files(spark, path, suffix), rows,
+        "utt string, frame_ix int, time double, feats array<double>",
     )
 
 
 def est_channels(spark: SparkSession, path: str, suffix: str = ".ema") -> DataFrame:
     """``(utt, channel, name)`` out of the headers."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for utt, content in zip(batch["utt"], batch["content"]):
-                names = decode_est(content)[0]
-                yield pd.DataFrame({
-                    "utt": utt, "channel": np.arange(len(names), dtype=np.int32), "name": names
-                })
-
-    return _files(spark, path, suffix).mapInPandas(run, "utt string, channel int, name string")
+    def rows(utt: str, content: bytes) -> Iterator[dict]:
+        names = decode_est(content)[0]
+        yield {
+            "utt": pa.array([utt] * len(names)),
+            "channel": pa.array(np.arange(len(names), dtype=np.int32)), "name": pa.array(names),
+        }
+
+    return _decoded(
+        _files(spark, path, suffix), rows, "utt string, channel int, name string"
+    )
 
 
 # --- npy arrays -------------------------------------------------------------
@@ -193,20 +210,13 @@ def read_npy(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
 
     Names end in ``_<kind>`` when a kind is given; the utterance is the rest.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for utt, content in zip(batch["utt"], batch["content"]):
-                data = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
-                data = data.reshape(len(data), -1)
-                for first in range(0, len(data), ROWS_PER_BATCH):
-                    part = data[first:first + ROWS_PER_BATCH]
-                    yield pd.DataFrame({
-                        "utt": utt, "frame_ix": np.arange(first, first + len(part), dtype=np.int32),
-                        "feats": list(part),
-                    })
-
-    rows = _files(spark, path, ".npy").mapInPandas(
-        run, "utt string, frame_ix int, feats array<double>"
+    def arrays(utt: str, content: bytes) -> Iterator[dict]:
+        data = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+        for keys, part in _frame_batches(utt, data.reshape(len(data), -1)):
+            yield {**keys, "feats": list_column(part)}
+
+    rows = _decoded(
+        _files(spark, path, ".npy"), arrays, "utt string, frame_ix int, feats array<double>"
     )
     if kind is None:
         return rows

@@ -106,7 +106,7 @@ def read_mngu0_labels(spark: SparkSession, path: str) -> DataFrame:
     )
     body = salted_join(rows, header, ["path"], spread=F.col("line_ix"))
     clean = F.replace(
-        F.trim(F.lit("\t"), F.col("line")), F.lit(" 26 "), F.lit("")
+        F.trim(F.col("line"), F.lit("\t")), F.lit(" 26 "), F.lit("")
     )
     fields = F.split(clean, "\t")
     body = body.where((F.col("line_ix") > F.col("_header")) & (F.trim("line") != ""))
