@@ -137,21 +137,39 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return number_rows(df, keys, ["draw", "utt"], bucket, "rank")
 
 
-def _repair(kept: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
-    """Give each missing (set, triphone) a free utterance that has it."""
+def _repair(kept: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """Give each missing (set, triphone) an utterance that has it.
+
+    Utterances no set depends on come first. A triphone found in none of them
+    takes the one whose loss hurts least; what that uncovers is for the next
+    round, which ranks by another draw.
+    """
     assigned = _assigned(kept, sets)
     per_triphone = assigned.groupBy("triphone").agg(F.collect_set("set_name").alias("has"))
     lacking = per_triphone.select(
         "triphone", F.explode(F.array_except(F.array(*[F.lit(s) for s in SETS]), "has"))
         .alias("wanted"),
     )
-    free = assigned.join(_witnesses(assigned), "utt", "left_anti")
-    offers = free.join(lacking, "triphone")
-    # Each missing pair takes one utterance; one asked for by several sets goes
-    # where it fills most holes.
-    taken = offers.groupBy("wanted", "triphone").agg(
-        F.min(F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))).alias("w")
+    lacking = cut_lineage(lacking)
+    n_lacking = lacking.count()
+    if n_lacking == 0:
+        return sets, 0
+    alone = set_counts(assigned).where(F.col("n_utts") == 1).drop("n_utts")
+    needed = (
+        assigned.join(alone, ["set_name", "triphone"])
+        .groupBy("utt").agg(F.count(F.lit(1)).alias("n_alone"))
+    )
+    bound = _witnesses(assigned).withColumn("bound", F.lit(1))
+    offers = (
+        assigned.join(lacking, "triphone")
+        .join(bound, "utt", "left").join(needed, "utt", "left")
+    )
+    rank = F.struct(
+        F.coalesce("bound", F.lit(0)), F.coalesce("n_alone", F.lit(0)), -F.col("n_tri"),
+        F.xxhash64("draw", F.lit(turn)), F.col("utt"),
     )
+    taken = offers.groupBy("wanted", "triphone").agg(F.min(rank).alias("w"))
+    # One utterance asked for by several sets goes where it fills most holes.
     moves = (
         taken.groupBy(F.col("w.utt").alias("utt"), "wanted")
         .agg(F.count(F.lit(1)).alias("gain"))
@@ -159,9 +177,8 @@ def _repair(kept: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
         .agg(F.max_by("wanted", F.struct(F.col("gain"), F.col("wanted"))).alias("_to"))
     )
     moved = sets.join(moves, "utt", "left")
-    moved = moved.withColumn("set_name", F.coalesce("_to", "set_name"))
-    moved = cut_lineage(moved)
-    return moved.drop("_to"), moved.where(F.col("_to").isNotNull()).count()
+    moved = moved.withColumn("set_name", F.coalesce("_to", "set_name")).drop("_to")
+    return cut_lineage(moved), n_lacking
 
 
 def split_corpus(
@@ -176,9 +193,9 @@ def split_corpus(
     in train, validation and test, with the asked sizes. Returns ``(utt, set_name)``.
 
     Utterances are dealt out by a seeded draw in the asked proportions. While a
-    set lacks a triphone, an utterance that has it and that no set depends on is
-    moved there. Last, utterances no set depends on even out the sizes. Every
-    step is a few joins and aggregations over the whole index.
+    set lacks a triphone, an utterance that has it is moved there, if possible
+    one no set depends on. Last, utterances no set depends on even out the
+    sizes. Every step is a few joins and aggregations over the whole index.
     """
     if not 0 < pct_train < 1:
         raise ValueError(f"pct_train must lie between 0 and 1, not {pct_train}")
@@ -200,15 +217,11 @@ def split_corpus(
         .when(F.col("rank") < n_fit, "validation").otherwise("test"),
     ).drop("rank")
 
-    for _ in range(max_rounds):
-        sets, n_moved = _repair(kept, sets)
-        missing = uncovered(_assigned(kept, sets)).count()
-        if missing == 0:
+    sets = cut_lineage(sets)
+    for turn in range(max_rounds):
+        sets, n_lacking = _repair(kept, sets, turn)
+        if n_lacking == 0:
             break
-        if n_moved == 0:
-            raise RuntimeError(
-                f"{missing} triphones cannot be covered in all sets; raise the limit"
-            )
     else:
         raise RuntimeError(f"no covering split within {max_rounds} rounds; raise the limit")
     return _even_out(kept, sets, sizes).select("utt", "set_name")

@@ -20,6 +20,15 @@ SEGMENT = 65_536
 SALTS = 16
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a scan that has fewer splits than there are cores.
+
+    Only a small table has so few; a large one is left as it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     bucket: Column | None, value: Column, name: str,

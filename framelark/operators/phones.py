@@ -206,16 +206,21 @@ def triphones(phones: DataFrame, segment: int | None = None) -> DataFrame:
 
 
 def token_triphones(texts: DataFrame, joiner: str = "_") -> DataFrame:
-    """Distinct ``(utt, triphone)`` of rows ``(utt, tokens ARRAY<STRING>)``."""
-    tokens = F.col("tokens")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 2),
-        lambda i: F.array_join(F.slice(tokens, i, 3), joiner),
-    )
-    return (
-        texts.where(F.size(tokens) >= 3)
-        .select("utt", F.explode(F.array_distinct(grams)).alias("triphone"))
-    )
+    """Distinct ``(utt, triphone)`` of rows ``(utt, tokens ARRAY<STRING>)``.
+
+    Each row is worked on by itself. The outer ``transform`` binds the tokens,
+    so that the expression they come from is evaluated once per row.
+    """
+    def joined(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(joiner), b)
+
+    def grams(tokens: Column) -> Column:
+        n = F.greatest(F.size(tokens) - 2, F.lit(0))
+        pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), joined)
+        return F.array_distinct(F.zip_with(pairs, F.slice(tokens, F.lit(3), n), joined))
+
+    each = F.flatten(F.transform(F.array("tokens"), grams))
+    return texts.select("utt", F.explode(each).alias("triphone"))
 
 
 # --- transcripts ------------------------------------------------------------

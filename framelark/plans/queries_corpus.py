@@ -179,10 +179,9 @@ def transcript_text(spark, sf_dir):
 
 
 def _doc_index(spark, sf_dir):
-    tokens = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda t: t != "")
-    texts = si.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("utt"), tokens.alias("tokens")
-    )
+    tokens = F.split(F.btrim("text", F.lit(" \t\n\r")), "[ \t\n\r]+")
+    docs = fr.spread(si.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts = docs.select(F.col("doc_id").alias("utt"), tokens.alias("tokens"))
     return ph.token_triphones(texts, joiner=" ")
 
 
