@@ -114,19 +114,6 @@ def _draw(utt: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(utt, F.lit(seed)), F.lit(PLACES))
 
 
-def _witnesses(assigned: DataFrame) -> DataFrame:
-    """One utterance per (set, triphone) that keeps the triphone covered.
-
-    Utterances rich in triphones come first, so few are needed; everything
-    else may move freely without any triphone losing its set.
-    """
-    first = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
-    return (
-        assigned.groupBy("set_name", "triphone").agg(F.min(first).alias("w"))
-        .select(F.col("w.utt").alias("utt")).distinct()
-    )
-
-
 def _assigned(kept: DataFrame, sets: DataFrame) -> DataFrame:
     return kept.join(sets, "utt")
 
@@ -137,35 +124,47 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return number_rows(df, keys, ["draw", "utt"], bucket, "rank")
 
 
-def _repair(kept: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, int]:
+def _holders(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per triphone and set, the number of utterances and the witness: one
+    utterance that keeps the triphone covered there.
+
+    Utterances rich in triphones come first, so few are needed; all others may
+    move freely without any triphone losing its set.
+    """
+    first = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
+    here = [F.col("set_name") == s for s in SETS]
+    return cut_lineage(
+        _assigned(kept, sets).groupBy("triphone").agg(
+            *[F.sum(h.cast("int")).alias(f"n_{s}") for s, h in zip(SETS, here)],
+            *[F.min(F.when(h, first)).alias(f"w_{s}") for s, h in zip(SETS, here)],
+        )
+    )
+
+
+def _bound(holders: DataFrame) -> DataFrame:
+    """The witnesses, with the number of triphones only they have in their set."""
+    witness = [
+        F.when(F.col(f"n_{s}") > 0, F.struct(
+            F.col(f"w_{s}.utt").alias("utt"), (F.col(f"n_{s}") == 1).cast("int").alias("alone")
+        )) for s in SETS
+    ]
+    rows = holders.select(F.explode(F.array_compact(F.array(*witness))).alias("w"))
+    return rows.groupBy(F.col("w.utt").alias("utt")).agg(F.sum("w.alone").alias("n_alone"))
+
+
+def _repair(kept: DataFrame, sets: DataFrame, holders: DataFrame, turn: int) -> DataFrame:
     """Give each missing (set, triphone) an utterance that has it.
 
     Utterances no set depends on come first. A triphone found in none of them
     takes the one whose loss hurts least; what that uncovers is for the next
     round, which ranks by another draw.
     """
-    assigned = _assigned(kept, sets)
-    per_triphone = assigned.groupBy("triphone").agg(F.collect_set("set_name").alias("has"))
-    lacking = per_triphone.select(
-        "triphone", F.explode(F.array_except(F.array(*[F.lit(s) for s in SETS]), "has"))
-        .alias("wanted"),
-    )
-    lacking = cut_lineage(lacking)
-    n_lacking = lacking.count()
-    if n_lacking == 0:
-        return sets, 0
-    alone = set_counts(assigned).where(F.col("n_utts") == 1).drop("n_utts")
-    needed = (
-        assigned.join(alone, ["set_name", "triphone"])
-        .groupBy("utt").agg(F.count(F.lit(1)).alias("n_alone"))
-    )
-    bound = _witnesses(assigned).withColumn("bound", F.lit(1))
-    offers = (
-        assigned.join(lacking, "triphone")
-        .join(bound, "utt", "left").join(needed, "utt", "left")
+    lacking = holders.select("triphone", _lacking().alias("wanted"))
+    offers = _assigned(kept, sets).join(lacking, "triphone").join(
+        _bound(holders), "utt", "left"
     )
     rank = F.struct(
-        F.coalesce("bound", F.lit(0)), F.coalesce("n_alone", F.lit(0)), -F.col("n_tri"),
+        F.col("n_alone").isNotNull(), F.coalesce("n_alone", F.lit(0)), -F.col("n_tri"),
         F.xxhash64("draw", F.lit(turn)), F.col("utt"),
     )
     taken = offers.groupBy("wanted", "triphone").agg(F.min(rank).alias("w"))
@@ -177,8 +176,16 @@ def _repair(kept: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, int
         .agg(F.max_by("wanted", F.struct(F.col("gain"), F.col("wanted"))).alias("_to"))
     )
     moved = sets.join(moves, "utt", "left")
-    moved = moved.withColumn("set_name", F.coalesce("_to", "set_name")).drop("_to")
-    return cut_lineage(moved), n_lacking
+    return cut_lineage(
+        moved.withColumn("set_name", F.coalesce("_to", "set_name")).drop("_to")
+    )
+
+
+def _lacking() -> Column:
+    """The sets a triphone is missing from, one row each."""
+    return F.explode(F.array_compact(
+        F.array(*[F.when(F.col(f"n_{s}") == 0, s) for s in SETS])
+    ))
 
 
 def split_corpus(
@@ -201,14 +208,13 @@ def split_corpus(
         raise ValueError(f"pct_train must lie between 0 and 1, not {pct_train}")
     if limit < len(SETS):
         raise ValueError("limit must be at least 3")
-    kept = kept_index(index, limit)
+    kept = cut_lineage(kept_index(index, limit))
     rich = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("n_tri"))
     base = utterances.select("utt").distinct().join(rich, "utt", "left")
     base = base.select(
         "utt", F.coalesce("n_tri", F.lit(0)).alias("n_tri"), _draw(F.col("utt"), seed).alias("draw")
     )
     base = cut_lineage(_numbered(base, []))
-    kept = cut_lineage(kept)
     sizes = target_sizes(base.count(), pct_train)
     n_train, n_fit = sizes["train"], sizes["train"] + sizes["validation"]
     sets = base.withColumn(
@@ -217,24 +223,22 @@ def split_corpus(
         .when(F.col("rank") < n_fit, "validation").otherwise("test"),
     ).drop("rank")
 
-    sets = cut_lineage(sets)
     for turn in range(max_rounds):
-        sets, n_lacking = _repair(kept, sets, turn)
-        if n_lacking == 0:
-            break
-    else:
-        raise RuntimeError(f"no covering split within {max_rounds} rounds; raise the limit")
-    return _even_out(kept, sets, sizes).select("utt", "set_name")
+        holders = _holders(kept, sets)
+        if holders.select(_lacking()).limit(1).count() == 0:
+            return _even_out(sets, holders, sizes).select("utt", "set_name")
+        sets = _repair(kept, sets, holders, turn)
+    raise RuntimeError(f"no covering split within {max_rounds} rounds; raise the limit")
 
 
-def _even_out(kept: DataFrame, sets: DataFrame, sizes: dict[str, int]) -> DataFrame:
+def _even_out(sets: DataFrame, holders: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Move free utterances from sets that are too large to those too small."""
     present = {r["set_name"]: r["n"] for r in
                sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     excess = {s: present.get(s, 0) - sizes[s] for s in SETS}
     if not any(excess.values()):
         return sets
-    free = sets.join(_witnesses(_assigned(kept, sets)), "utt", "left_anti")
+    free = sets.join(_bound(holders), "utt", "left_anti")
     ranked = _numbered(free, ["set_name"])
     leaving = F.coalesce(
         *[F.when((F.col("set_name") == s) & (F.col("rank") < max(excess[s], 0)), True)
