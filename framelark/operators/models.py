@@ -224,7 +224,7 @@ def component_densities(
     return F.transform(F.sequence(F.lit(0), F.lit(n_components - 1)), at)
 
 
-def _weighted(weights: Column, means: Column, n_components: int, n_targets: int) -> Column:
+def weighted_components(weights: Column, means: Column, n_components: int, n_targets: int) -> Column:
     """Weighted sum of the components' vectors."""
     components = F.sequence(F.lit(0), F.lit(n_components - 1))
     return F.transform(
@@ -262,7 +262,7 @@ def mixture_prediction(rows: DataFrame, n_components: int, n_targets: int) -> Da
     shares of the density there.
     """
     size = (n_components, n_targets)
-    first = rows.withColumn("_guess", _weighted(F.col("priors"), F.col("means"), *size))
+    first = rows.withColumn("_guess", weighted_components(F.col("priors"), F.col("means"), *size))
     dens = first.withColumn(
         "_dens", component_densities(F.col("_guess"), F.col("means"), F.col("stds"), *size)
     )
@@ -271,5 +271,5 @@ def mixture_prediction(rows: DataFrame, n_components: int, n_targets: int) -> Da
         "_share", F.transform("_dens", lambda x: x / F.col("_norm"))
     )
     return shares.withColumn(
-        "feats", _weighted(F.col("_share"), F.col("means"), *size)
+        "feats", weighted_components(F.col("_share"), F.col("means"), *size)
     ).drop("_guess", "_dens", "_norm", "_share")

@@ -7,6 +7,7 @@ from framelark.operators import frames as fr
 from framelark.operators import models as md
 from framelark.operators import scoring as sc
 from framelark.operators import training as tr
+from framelark.operators import trajectory as tj
 from framelark.plans import stand_ins as si
 from framelark.plans.queries_frames import _WINDOWS, _sql_delta
 from framelark.plans.registry import channels, query, r6
@@ -279,3 +280,11 @@ def dense_fit_step(spark, sf_dir):
     _, _, per_channel = tr.fit_step(rows, model, tr.Adam())
     table = [(i, float(x)) for i, x in enumerate(per_channel)]
     return spark.createDataFrame(table, "channel int, loss double").withColumn("loss", r6("loss"))
+
+
+@query("mlpg")
+def mlpg(spark, sf_dir):
+    """Trajectory of two static channels from a two-component mixture readout."""
+    frames = si.vectors(spark, sf_dir).withColumn("feats", F.slice("feats", 1, 2 + 2 * 2 * 6))
+    rows = tj.mixture_trajectory(md.mixture_parameters(frames, 2, 6), 2, 2, n_steps=3)
+    return rows.select("utt", "frame_ix", *channels("y", 6))
