@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import natural_key
-from framelark.operators.frames import number_rows
+from framelark.operators.frames import number_rows, salted_join
 from framelark.session import cut_lineage
 
 SETS = ("train", "validation", "test")
@@ -27,7 +27,8 @@ def document_frequency(index: DataFrame, limit: int = 9) -> DataFrame:
 
 def kept_index(index: DataFrame, limit: int = 9) -> DataFrame:
     """The index reduced to the triphones worth covering."""
-    return index.join(document_frequency(index, limit), "triphone", "left_semi")
+    kept = document_frequency(index, limit).select("triphone")
+    return salted_join(index, kept, ["triphone"], "left_semi", spread=F.col("utt"))
 
 
 def gains(index: DataFrame, coverage: DataFrame, sets: Sequence[str] = SETS) -> DataFrame:
@@ -43,7 +44,8 @@ def gains(index: DataFrame, coverage: DataFrame, sets: Sequence[str] = SETS) ->
         F.sum(1 - F.coalesce(F.col(f"_has{i}"), F.lit(False)).cast("int")).alias(f"gain_{s}")
         for i, s in enumerate(sets)
     ]
-    return index.join(flags, "triphone", "left").groupBy("utt").agg(*missing)
+    flagged = salted_join(index, flags, ["triphone"], "left", spread=F.col("utt"))
+    return flagged.groupBy("utt").agg(*missing)
 
 
 def best_set(gain_table: DataFrame, sets: Sequence[str] = SETS) -> DataFrame:
@@ -56,7 +58,7 @@ def best_set(gain_table: DataFrame, sets: Sequence[str] = SETS) -> DataFrame:
 
 
 def with_set(index: DataFrame, sets: DataFrame) -> DataFrame:
-    return index.join(sets, "utt")
+    return salted_join(index, sets, ["utt"], spread=F.col("triphone"))
 
 
 def set_counts(indexed: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def movable(indexed: DataFrame) -> DataFrame:
     """Per utterance, whether each of its triphones occurs again in its set."""
     counts = set_counts(indexed)
     return (
-        indexed.join(counts, ["set_name", "triphone"])
+        salted_join(indexed, counts, ["set_name", "triphone"], spread=F.col("utt"))
         .groupBy("utt", "set_name")
         .agg((F.min("n_utts") > 1).alias("movable"))
     )
@@ -114,10 +116,6 @@ def _draw(utt: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(utt, F.lit(seed)), F.lit(PLACES))
 
 
-def _assigned(kept: DataFrame, sets: DataFrame) -> DataFrame:
-    return kept.join(sets, "utt")
-
-
 def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number along the draw; its leading digits are the buckets."""
     bucket = F.floor(F.col("draw") / (PLACES // 4096))
@@ -134,7 +132,7 @@ def _holders(kept: DataFrame, sets: DataFrame) -> DataFrame:
     first = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
     here = [F.col("set_name") == s for s in SETS]
     return cut_lineage(
-        _assigned(kept, sets).groupBy("triphone").agg(
+        with_set(kept, sets).groupBy("triphone").agg(
             *[F.sum(h.cast("int")).alias(f"n_{s}") for s, h in zip(SETS, here)],
             *[F.min(F.when(h, first)).alias(f"w_{s}") for s, h in zip(SETS, here)],
         )
@@ -160,7 +158,8 @@ def _repair(kept: DataFrame, sets: DataFrame, holders: DataFrame, turn: int) ->
     round, which ranks by another draw.
     """
     lacking = holders.select("triphone", _lacking().alias("wanted"))
-    offers = _assigned(kept, sets).join(lacking, "triphone").join(
+    having = kept.join(lacking.select("triphone").distinct(), "triphone", "left_semi")
+    offers = with_set(having, sets).join(lacking, "triphone").join(
         _bound(holders), "utt", "left"
     )
     rank = F.struct(
@@ -279,7 +278,7 @@ def in_fileset(rows: DataFrame, sets: DataFrame, set_name: str | None) -> DataFr
     if set_name is None:
         return rows
     chosen = sets.where(F.col("set_name") == set_name).select("utt")
-    return rows.join(chosen, "utt", "left_semi")
+    return salted_join(rows, chosen, ["utt"], "left_semi", spread=F.xxhash64(*rows.columns))
 
 
 def adjust_provided(utterances: DataFrame, provided: DataFrame) -> DataFrame:
