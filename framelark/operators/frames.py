@@ -99,6 +99,17 @@ def salted_join(
     ).drop("_salt")
 
 
+def dimension_join(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner",
+    limit: int = 100_000,
+) -> DataFrame:
+    """Join a dimension table such as a phone chart: broadcast if it is counted
+    to have at most ``limit`` rows, otherwise salted."""
+    if table.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(table), list(on), how)
+    return salted_join(rows, table, on, how, spread=F.xxhash64(*rows.columns))
+
+
 def segmented(
     df: DataFrame, margin: int, ix: str = "frame_ix", segment: int | None = None
 ) -> DataFrame:

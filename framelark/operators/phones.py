@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions.scalars import end_frame, nearest_frame, round_exact, start_frame
 from framelark.operators.frames import (
-    by_segment, core_only, lengths, number_rows, running_total, salted_join,
+    by_segment, core_only, dimension_join, lengths, number_rows, running_total, salted_join,
     segment_window, segmented,
 )
 
@@ -46,7 +46,7 @@ def map_symbols(
     )
     missing = F.raise_error(F.concat(F.lit("symbol not in the chart: "), F.col("symbol")))
     return (
-        phones.join(table.withColumn("_known", F.lit(True)), "symbol", "left")
+        dimension_join(phones, table.withColumn("_known", F.lit(True)), ["symbol"], "left")
         .withColumn("symbol", F.when(F.col("_known"), F.col("_new")).otherwise(missing))
         .drop("_new", "_known")
     )
@@ -56,9 +56,8 @@ def map_symbols_or_null(rows: DataFrame, chart: DataFrame, column: str,
                         source: str, target: str) -> DataFrame:
     """Replace the symbols of ``column``; an unknown one becomes NULL."""
     table = chart.select(F.col(source).alias(column), F.col(target).alias("_new"))
-    return (
-        rows.join(table, column, "left").withColumn(column, F.col("_new")).drop("_new")
-    )
+    joined = dimension_join(rows, table, [column], "left")
+    return joined.withColumn(column, F.col("_new")).drop("_new")
 
 
 def voicing(

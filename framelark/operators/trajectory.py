@@ -5,8 +5,9 @@ With W stacking identity, slope and slope of slope, the static trajectory of a
 channel solves (W' P W) c = W' P m for means m and precisions P. Every row of
 W looks at most ten frames away, so the system falls apart by substructuring:
 each segment eliminates its inner frames, the few frames around the segment
-borders are solved for by a small chain of blocks per utterance and channel,
-and each segment then fills in its inner frames. That is exact for any length.
+borders are solved for along the chain of segments (long chains being condensed
+group by group in the same way), and each segment then fills in its inner
+frames. That is exact for any length, and no group grows with the utterance.
 """
 
 import numpy as np
@@ -24,6 +25,7 @@ WINDOW = 5
 REACH = 2 * WINDOW
 MARGIN = 3 * REACH
 SEGMENT = 512
+FAN = 64
 
 
 def _slope(size: int, window: int = WINDOW) -> np.ndarray:
@@ -94,31 +96,101 @@ class _Segment:
         return c[self.own]
 
 
-def _chain(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Solve for the borders between consecutive segments, block by block.
-
-    Each part is (frames at the left border, matrix, right-hand side)."""
-    n = len(parts) - 1
-    diag, rhs, link = [], [], []
-    for k in range(n):
-        n_left, s, g = parts[k]
-        m_left, t, h = parts[k + 1]
-        diag.append(s[n_left:, n_left:] + t[:m_left, :m_left])
-        rhs.append(g[n_left:] + h[:m_left])
-        link.append(s[:n_left, n_left:])
-    for k in range(1, n):
-        step = np.linalg.solve(diag[k - 1], np.column_stack([link[k], rhs[k - 1]]))
-        diag[k] = diag[k] - link[k].T @ step[:, :-1]
-        rhs[k] = rhs[k] - link[k].T @ step[:, -1]
-    values = [None] * n
-    for k in range(n - 1, -1, -1):
-        known = rhs[k] if k == n - 1 else rhs[k] - link[k + 1] @ values[k + 1]
-        values[k] = np.linalg.solve(diag[k], known)
+class _Chain:
+    """Consecutive parts, each a system over its left and right border."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("_seg")
+        self.table = table
+        systems, self.borders, n = [], [], 0
+        for n_left, s, g in zip(
+            table["n_left"].to_pylist(), table["s"].to_pylist(), table["g"].to_pylist()
+        ):
+            systems.append((np.array(s, dtype=float).reshape(len(g), len(g)), np.array(g, dtype=float)))
+            for size in ([n_left] if not self.borders else []) + [len(g) - n_left]:
+                self.borders.append(np.arange(n, n + size))
+                n += size
+        self.a, self.r = np.zeros((n, n)), np.zeros(n)
+        for k, (s, g) in enumerate(systems):
+            at = self.part(k)
+            self.a[np.ix_(at, at)] += s
+            self.r[at] += g
+        self.outer = np.r_[self.borders[0], self.borders[-1]]
+        self.inner = np.setdiff1d(np.arange(n), self.outer)
+
+    def part(self, k: int) -> np.ndarray:
+        return np.r_[self.borders[k], self.borders[k + 1]]
+
+    def condensed(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The chain as one part over its outer borders."""
+        coupling = self.a[np.ix_(self.inner, self.outer)]
+        s, g = self.a[np.ix_(self.outer, self.outer)], self.r[self.outer]
+        if len(self.inner):
+            solved = np.linalg.solve(
+                self.a[np.ix_(self.inner, self.inner)],
+                np.column_stack([coupling, self.r[self.inner]]),
+            )
+            s, g = s - coupling.T @ solved[:, :-1], g - coupling.T @ solved[:, -1]
+        return len(self.borders[0]), s, g
+
+    def expanded(self, outer_values: np.ndarray) -> list[np.ndarray]:
+        """Border values of every part, given those of the outer borders."""
+        x = np.zeros(len(self.r))
+        x[self.outer] = outer_values
+        if len(self.inner):
+            rest = self.r[self.inner] - self.a[np.ix_(self.inner, self.outer)] @ outer_values
+            x[self.inner] = np.linalg.solve(self.a[np.ix_(self.inner, self.inner)], rest)
+        return [x[self.part(k)] for k in range(len(self.borders) - 1)]
+
+
+def _solved_borders(reduced: DataFrame, utt_type: str, fan: int) -> DataFrame:
+    """``(utt, _seg, channel, values)``. A chain of more than ``fan`` parts is
+    condensed group by group until it is short, then expanded again."""
+    part_schema = (
+        f"utt {utt_type}, _seg bigint, channel int, n_left int, s array<double>, g array<double>"
+    )
+    value_schema = f"utt {utt_type}, _seg bigint, channel int, values array<double>"
+
+    def condense(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n_left, s, g = _Chain(table).condensed()
+        numbers = pa.list_(pa.float64())
+        return pa.table({
+            "utt": pa.array([key[0].as_py()], table["utt"].type),
+            "_seg": pa.array([key[2].as_py()], pa.int64()),
+            "channel": pa.array([key[1].as_py()], pa.int32()),
+            "n_left": pa.array([n_left], pa.int32()),
+            "s": pa.array([s.ravel()], numbers), "g": pa.array([g], numbers),
+        })
+
+    def values_of(table: pa.Table, outer: np.ndarray) -> pa.Table:
+        chain = _Chain(table)
+        return chain.table.select(["utt", "_seg", "channel"]).append_column(
+            "values", pa.array(chain.expanded(outer), pa.list_(pa.float64()))
+        )
+
+    def solve(table: pa.Table) -> pa.Table:
+        return values_of(table, np.array([]))
+
+    def expand(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
+        return values_of(table, np.array(known["values"][0].as_py(), dtype=float))
+
+    group = F.floor(F.col("_seg") / fan).alias("_group")
+    levels = [reduced]
+    longest = reduced.agg(F.max("_seg").alias("n")).collect()[0]["n"] or 0
+    while longest >= fan:
+        upper = levels[-1].groupBy("utt", "channel", group).applyInArrow(condense, part_schema)
+        levels.append(upper)
+        longest //= fan
+    values = levels.pop().groupBy("utt", "channel").applyInArrow(solve, value_schema)
+    while levels:
+        values = levels.pop().groupBy("utt", "channel", group).cogroup(
+            values.groupBy("utt", "channel", "_seg")
+        ).applyInArrow(expand, value_schema)
     return values
 
 
 def trajectory(
-    params: DataFrame, n_static: int, segment: int = SEGMENT
+    params: DataFrame, n_static: int, segment: int = SEGMENT, fan: int = FAN
 ) -> DataFrame:
     """``(utt, frame_ix, feats)``: static, delta and delta-delta trajectory of rows
     ``(utt, frame_ix, means, stds)`` holding the same three blocks."""
@@ -143,23 +215,6 @@ def trajectory(
             "g": pa.array([f[3] for f in found], pa.list_(pa.float64())),
         })
 
-    def borders(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_seg")
-        parts = []
-        for n_left, s, g in zip(
-            table["n_left"].to_pylist(), table["s"].to_pylist(), table["g"].to_pylist()
-        ):
-            parts.append((n_left, np.array(s).reshape(len(g), len(g)), np.array(g)))
-        values = _chain(parts)
-        empty = np.array([])
-        both = [
-            np.r_[values[k - 1] if k else empty, values[k] if k < len(values) else empty]
-            for k in range(len(parts))
-        ]
-        return table.select(["utt", "_seg", "channel"]).append_column(
-            "values", pa.array(both, pa.list_(pa.float64()))
-        )
-
     def fill(
         key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table
     ) -> pa.Table:
@@ -182,9 +237,7 @@ def trajectory(
         reduce, f"utt {utt_type}, _seg bigint, channel int, n_left int, "
                 "s array<double>, g array<double>"
     )
-    solved = reduced.groupBy("utt", "channel").applyInArrow(
-        borders, f"utt {utt_type}, _seg bigint, channel int, values array<double>"
-    )
+    solved = _solved_borders(cut_lineage(reduced), utt_type, fan)
     static = rows.groupBy("utt", "_seg").cogroup(solved.groupBy("utt", "_seg")).applyInArrow(
         fill, f"utt {utt_type}, frame_ix int, feats array<double>"
     )

@@ -19,7 +19,8 @@ JOIN fx_items b ON a.context = b.context AND a.speaker = b.speaker AND a.phone <
 GROUP BY ALL""")
 def abx_counts(spark, sf_dir):
     """Triplets per phone pair, context and speaker."""
-    return abx.triplet_counts(ph.items(si.phones(spark, sf_dir)))
+    phones = si.phones(spark, sf_dir, si.stored_frames(spark, sf_dir))
+    return abx.triplet_counts(ph.items(phones))
 
 
 _SCORES = with_views("fx_vec") + """,
@@ -61,7 +62,7 @@ def abx_collapse(spark, sf_dir):
 @query("abx_dtw")
 def abx_dtw(spark, sf_dir):
     """Phones of the events as tokens of one or more frames, aligned in time."""
-    items = ph.items(si.phones(spark, sf_dir))
-    features = si.frames(spark, sf_dir)
-    tokens = abx.tokens(items, features, sampling_rate=200 / 7 / 2)
+    frames = si.stored_frames(spark, sf_dir)
+    items = ph.items(si.phones(spark, sf_dir, frames))
+    tokens = abx.tokens(items, frames, sampling_rate=200 / 7 / 2)
     return abx.abx_scores(tokens, 2).withColumn("score", r6("score"))

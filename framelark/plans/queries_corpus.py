@@ -66,11 +66,9 @@ FROM fx_frames f JOIN fx_bounds b ON b.utt = f.utt JOIN ln ON ln.utt = f.utt
 JOIN fx_voicing v ON v.utt = f.utt AND v.frame_ix = f.frame_ix
 WHERE f.frame_ix >= b.start_ix AND f.frame_ix < least(b.end_ix, ln.n)""")
 def trim_edges(spark, sf_dir):
-    phones = si.phones(spark, sf_dir)
-    kinds = {
-        "ema": si.frames(spark, sf_dir),
-        "voicing": ph.voicing(phones, si.chart(spark), SR),
-    }
+    frames = si.stored_frames(spark, sf_dir)
+    phones = si.phones(spark, sf_dir, frames)
+    kinds = {"ema": frames, "voicing": ph.voicing(phones, si.chart(spark), SR)}
     bounds = ph.common_bounds(kinds, ph.boundaries(phones, SR))
     ema, flags = (ph.trim(kinds[k], bounds) for k in ("ema", "voicing"))
     return ema.join(flags, ["utt", "frame_ix"]).select(
@@ -125,7 +123,8 @@ def _round3(x: str) -> str:
 SELECT utt, phone_ix, {_round3("onset")} + 0.0 AS onset, {_round3("offset_s")} + 0.0 AS "offset", phone, context, speaker
 FROM fx_items""")
 def abx_items(spark, sf_dir):
-    return ph.items(si.phones(spark, sf_dir)).withColumns(
+    phones = si.phones(spark, sf_dir, si.stored_frames(spark, sf_dir))
+    return ph.items(phones).withColumns(
         {"onset": F.col("onset") + F.lit(0.0), "offset": F.col("offset") + F.lit(0.0)}
     )
 
@@ -401,10 +400,11 @@ SELECT utt, frame_ix, round(s, 6) + 0.0 AS f0, voiced AS f1, round(d, 6) + 0.0 A
 FROM loaded""")
 def load_ema_query(spark, sf_dir):
     """One chosen articulator, de-meaned per speaker, with dynamics and voicing."""
+    frames = si.stored_frames(spark, sf_dir)
     rows = load_ema(
-        si.frames(spark, sf_dir), ["c0", "c1"],
+        frames, ["c0", "c1"],
         LoadingSetup(articulators=["c1", "voicing"], ema_norm="mean_byspeaker"),
-        voicing=ph.voicing(si.phones(spark, sf_dir), si.chart(spark), SR),
+        voicing=ph.voicing(si.phones(spark, sf_dir, frames), si.chart(spark), SR),
     )
     return rows.select("utt", "frame_ix", *channels("f", 4))
 
@@ -423,14 +423,14 @@ JOIN (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lead(a) OVER w AS na,
 JOIN fx_sets fs ON fs.utt = l.utt WHERE fs.set_name = 'train'""")
 def load_dataset_query(spark, sf_dir):
     """Inputs in context and dynamic targets of the training set, paired by frame."""
-    frames = si.frames(spark, sf_dir)
+    frames = si.stored_frames(spark, sf_dir)
     setup = LoadingSetup(
         audio_type="mfcc_stds_byspeaker", articulators=["c1", "voicing"],
         context_window=1, ema_norm="mean_byspeaker",
     )
     rows = load_dataset(
         {"mfcc": frames, "ema": frames}, {"mfcc": 2, "ema": 2}, ["c0", "c1"], setup,
-        voicing=ph.voicing(si.phones(spark, sf_dir), si.chart(spark), SR),
+        voicing=ph.voicing(si.phones(spark, sf_dir, frames), si.chart(spark), SR),
         filesets=si.filesets(spark, sf_dir), set_name="train",
     )
     return rows.select(

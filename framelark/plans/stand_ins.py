@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions.vectors import pick
 from framelark.operators.frames import number_rows
+from framelark.session import cut_lineage
 
 SAMPLING_RATE = 100
 
@@ -81,9 +82,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(events, ["utt"], ["ts", "event_id"], hour).drop("ts")
 
 
-def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames written down once, for plans that read them several times."""
+    return cut_lineage(frames(spark, sf_dir))
+
+
+def phones(
+    spark: SparkSession, sf_dir: str, base: DataFrame | None = None
+) -> DataFrame:
     """Phone labels with strictly increasing end times; 'error' plays silence."""
-    return frames(spark, sf_dir).select(
+    base = frames(spark, sf_dir) if base is None else base
+    return base.select(
         "utt", "speaker", F.col("frame_ix").alias("phone_ix"),
         (
             F.lit(0.07) * (F.col("frame_ix") + 1)

@@ -45,10 +45,10 @@ def table(spark, series):
 
 def test_trajectory_equals_dense_solution(spark, collect):
     series = {}
-    for u, n in (("long", 200), ("edge", 65), ("short", 12), ("even", 120)):
+    for u, n in (("long", 420), ("edge", 65), ("short", 12), ("even", 120)):
         series[u] = (RNG.normal(size=(n, 6)).cumsum(axis=0), np.exp(RNG.normal(size=(n, 6)) / 2))
-    for segment in (60, 512):
-        got = collect(tj.trajectory(table(spark, series), 2, segment))
+    for segment, fan in ((60, 64), (60, 2), (512, 64)):
+        got = collect(tj.trajectory(table(spark, series), 2, segment, fan))
         for u, (mean, std) in series.items():
             np.testing.assert_allclose(got[u], dense(mean, std, 2), atol=1e-8)
 
