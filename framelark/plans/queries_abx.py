@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from framelark.operators import abx
 from framelark.operators import phones as ph
 from framelark.plans import stand_ins as si
-from framelark.plans.queries_corpus import _ITEMS
+from framelark.plans.queries_corpus import _ITEMS, _round3
 from framelark.plans.registry import query, r6
 from framelark.plans.stand_ins import with_views
 
@@ -59,10 +59,31 @@ def abx_collapse(spark, sf_dir):
     return rows.withColumn("score", r6("score"))
 
 
-@query("abx_dtw")
+RATE = 200 / 7 / 2
+
+# At this rate a phone spans at most two frames, so the best alignment of two
+# tokens is the diagonal, or all pairs if one of them has a single frame.
+_DTW = with_views("fx_frames", "fx_phones") + f""", {_ITEMS},
+it AS (SELECT utt, phone_ix, phone, context, speaker, {_round3("onset")} AS a, {_round3("offset_s")} AS b FROM fx_items),
+tf AS (SELECT i.utt, i.phone_ix, phone, context, i.speaker, c0 / sqrt(c0 * c0 + c1 * c1) AS u, c1 / sqrt(c0 * c0 + c1 * c1) AS v,
+              row_number() OVER (PARTITION BY i.utt, i.phone_ix ORDER BY f.frame_ix) AS k,
+              count(*) OVER (PARTITION BY i.utt, i.phone_ix) AS m
+       FROM it i JOIN fx_frames f ON f.utt = i.utt AND f.frame_ix BETWEEN ceil(a * {RATE!r}::DOUBLE) AND floor(b * {RATE!r}::DOUBLE)),
+dist AS (SELECT x.utt, x.phone_ix, o.utt AS ou, o.phone_ix AS op, x.phone AS phone_1, o.phone AS phone_2, x.context, x.speaker,
+                round(avg(1 - (x.u * o.u + x.v * o.v)), 12) AS d
+         FROM tf x JOIN tf o ON x.context = o.context AND x.speaker = o.speaker
+              AND (x.utt <> o.utt OR x.phone_ix <> o.phone_ix) AND (x.m = 1 OR o.m = 1 OR x.k = o.k)
+         GROUP BY ALL)"""
+
+
+@query("abx_dtw", _DTW + """
+SELECT a.phone_1, b.phone_2, a.context, a.speaker,
+       round(avg(CASE WHEN a.d < b.d THEN 1 WHEN a.d = b.d THEN 0.5 ELSE 0 END), 6) + 0.0 AS score, count(*) AS n
+FROM dist a JOIN dist b ON a.utt = b.utt AND a.phone_ix = b.phone_ix
+WHERE a.phone_2 = a.phone_1 AND b.phone_2 <> b.phone_1 GROUP BY ALL""")
 def abx_dtw(spark, sf_dir):
     """Phones of the events as tokens of one or more frames, aligned in time."""
     frames = si.stored_frames(spark, sf_dir)
     items = ph.items(si.phones(spark, sf_dir, frames))
-    tokens = abx.tokens(items, frames, sampling_rate=200 / 7 / 2)
+    tokens = abx.tokens(items, frames, sampling_rate=RATE)
     return abx.abx_scores(tokens, 2).withColumn("score", r6("score"))

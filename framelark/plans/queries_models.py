@@ -3,6 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from framelark.functions import scalars as sl
+from framelark.functions.vectors import softmax
 from framelark.operators import frames as fr
 from framelark.operators import models as md
 from framelark.operators import scoring as sc
@@ -205,6 +207,26 @@ def refine_signal(spark, sf_dir):
     return rows.select("utt", "frame_ix", *channels("f", 6))
 
 
+@query("activations", with_views("fx_vec") + """,
+x AS (SELECT utt, frame_ix, feats[1] * 10 AS a, feats[2] * 10 AS b, feats[3] * 10 AS c FROM fx_vec)
+SELECT utt, frame_ix, round(a, 6) + 0.0 AS "identity", CASE WHEN a > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "binary",
+       round(greatest(a, 0), 6) + 0.0 AS relu, round(1 / (1 + exp(-a)), 6) + 0.0 AS sigmoid,
+       round(ln(1 + exp(a)), 6) + 0.0 AS softplus, round(tanh(a), 6) + 0.0 AS tanh,
+       round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) + 0.0 AS softmax,
+       round(sin(pi() * a) / (pi() * a), 6) + 0.0 AS sinc, round(ln(abs(a)) / ln(2), 6) + 0.0 AS log2
+FROM x""")
+def activations(spark, sf_dir):
+    """Every activation and scalar function on the first channel."""
+    rows = si.vectors(spark, sf_dir).withColumn(
+        "feats", F.transform(F.slice("feats", 1, 3), lambda x: x * 10)
+    )
+    a = F.get("feats", F.lit(0))
+    named = {name: fn(a) for name, fn in sl.ACTIVATIONS.items()}
+    named["softmax"] = F.get(softmax(F.col("feats")), F.lit(0))
+    named["sinc"], named["log2"] = sl.sinc(a), sl.log_base(F.abs(a), 2)
+    return rows.select("utt", "frame_ix", *[r6(c).alias(n) for n, c in named.items()])
+
+
 # --- mixtures: 3 components, 4 targets, 27 channels; targets are the next 4 --
 
 K, D = 3, 4

@@ -155,10 +155,45 @@ def _holes(spark, sf_dir, feats):
     )
 
 
-@query("spline_fill")
+# The spline by elimination along the knots: one recursion each way.
+_SPLINE = "WITH RECURSIVE" + with_views("fx_frames")[4:] + """,
+knots AS (SELECT utt, frame_ix, CAST(frame_ix AS DOUBLE) AS x, c0 AS y,
+                 row_number() OVER (PARTITION BY utt ORDER BY frame_ix) - 1 AS j, count(*) OVER (PARTITION BY utt) AS m
+          FROM fx_frames WHERE event_type <> 'error'),
+seg AS (SELECT utt, j, m, x, y, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s
+        FROM knots WINDOW w AS (PARTITION BY utt ORDER BY j)),
+rw AS (SELECT b.utt, b.j, b.m, a.h AS h0, b.h AS h1, a.h / (a.h + b.h) AS lo0, b.h / (a.h + b.h) AS hi0,
+              6 * (b.s - a.s) / (a.h + b.h) AS r
+       FROM seg a JOIN seg b ON a.utt = b.utt AND b.j = a.j + 1 WHERE b.j <= b.m - 2),
+sys AS (SELECT utt, j, m, r, h0, h1, CASE WHEN j = m - 2 THEN lo0 - hi0 * (h1 / h0) ELSE lo0 END AS lo,
+               CASE WHEN j = 1 THEN hi0 - lo0 * (h0 / h1) ELSE hi0 END AS hi,
+               2 + CASE WHEN j = 1 THEN lo0 * (1 + h0 / h1) ELSE 0 END
+                 + CASE WHEN j = m - 2 THEN hi0 * (1 + h1 / h0) ELSE 0 END AS dg FROM rw),
+fwd AS (SELECT utt, j, hi / dg AS u, r / dg AS o FROM sys WHERE j = 1
+        UNION ALL SELECT s.utt, s.j, s.hi / (s.dg - s.lo * f.u), (s.r - s.lo * f.o) / (s.dg - s.lo * f.u)
+        FROM fwd f JOIN sys s ON s.utt = f.utt AND s.j = f.j + 1),
+back AS (SELECT f.utt, f.j, f.o AS m2 FROM fwd f JOIN sys s ON s.utt = f.utt AND s.j = f.j WHERE s.j = s.m - 2
+         UNION ALL SELECT f.utt, f.j, f.o - f.u * b.m2 FROM back b JOIN fwd f ON f.utt = b.utt AND f.j = b.j - 1),
+curv AS (SELECT utt, j, m2 FROM back
+         UNION ALL SELECT s.utt, 0, a.m2 + (s.h0 / s.h1) * (a.m2 - b.m2) FROM sys s
+           JOIN back a ON a.utt = s.utt AND a.j = 1 JOIN back b ON b.utt = s.utt AND b.j = 2 WHERE s.j = 1
+         UNION ALL SELECT s.utt, s.m - 1, a.m2 + (s.h1 / s.h0) * (a.m2 - b.m2) FROM sys s
+           JOIN back a ON a.utt = s.utt AND a.j = s.m - 2 JOIN back b ON b.utt = s.utt AND b.j = s.m - 3 WHERE s.j = s.m - 2),
+poly AS (SELECT s.utt, s.j, s.x, s.y, s.s - s.h * (2 * a.m2 + b.m2) / 6 AS b, a.m2 / 2 AS c, (b.m2 - a.m2) / (6 * s.h) AS d
+         FROM seg s JOIN curv a ON a.utt = s.utt AND a.j = s.j JOIN curv b ON b.utt = s.utt AND b.j = s.j + 1),
+gaps AS (SELECT utt, frame_ix, greatest(least(seen - 1, m - 2), 0) AS j FROM (
+  SELECT utt, frame_ix, event_type, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY utt ORDER BY frame_ix) AS seen,
+         count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY utt) AS m FROM fx_frames) t WHERE event_type = 'error')"""
+
+
+@query("spline_fill", _SPLINE + """
+SELECT utt, frame_ix, round(c0, 4) + 0.0 AS f0 FROM fx_frames WHERE event_type <> 'error'
+UNION ALL SELECT g.utt, g.frame_ix, round(y + (g.frame_ix - x) * (b + (g.frame_ix - x) * (c + (g.frame_ix - x) * d)), 4) + 0.0
+FROM gaps g JOIN poly p ON p.utt = g.utt AND p.j = g.j""")
 def spline_fill(spark, sf_dir):
     rows = sg.fill_gaps(_holes(spark, sf_dir, F.col("feats")), width=2)
-    return rows.select("utt", "frame_ix", *channels("f", 2))
+    first = F.round(F.get("feats", F.lit(0)), 4) + F.lit(0.0)
+    return rows.select("utt", "frame_ix", first.alias("f0"))
 
 
 @query("spline_fill_cubic", with_views("fx_frames") + """

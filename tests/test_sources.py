@@ -356,3 +356,52 @@ def test_energy_is_cut_to_the_shorter(spark):
         [("u", i, float(v)) for i, v in enumerate(x)], "utt string, sample_ix int, value double")
     audio = sg.blocks(rows)
     assert sg.get_lpc(audio, 1000, 100, 50, 4).count() == 1 + (1000 - 100) // 50
+
+
+def test_inversion_from_file_to_file(spark, tmp_path, make_frames, collect):
+    from framelark.operators import models as md
+    from framelark.plans.inversion import run_inversion
+
+    m = md.DenseModel([], md.Dense(RNG.normal(size=(6, 3)), RNG.normal(size=3), "identity"))
+    series = {"u1": RNG.normal(size=(9, 2)), "u2": RNG.normal(size=(4, 2))}
+    text.write_ark(make_frames(series), f"{tmp_path}/in.txt")
+    make_frames(series).write.parquet(f"{tmp_path}/in")
+    run_inversion(spark, f"{tmp_path}/in.txt", m, f"{tmp_path}/out", 2, "ark", 1, [2, 0])
+    run_inversion(spark, f"{tmp_path}/in", m, f"{tmp_path}/out.txt", 2, "parquet", 1, [2, 0])
+    got, other = collect(spark.read.parquet(f"{tmp_path}/out")), collect(text.read_ark(spark, f"{tmp_path}/out.txt"))
+    for utt, x in series.items():
+        pad = np.vstack([np.zeros((1, 2)), x, np.zeros((1, 2))])
+        want = m.output(np.hstack([pad[i:i + len(x)] for i in range(3)]))[:, [2, 0]]
+        np.testing.assert_allclose(got[utt], want)
+        np.testing.assert_allclose(other[utt], want)
+    with pytest.raises(TypeError):
+        run_inversion(spark, f"{tmp_path}/in", m, f"{tmp_path}/out.ark", 2)
+    with pytest.raises(ValueError):
+        run_inversion(spark, f"{tmp_path}/in", m, f"{tmp_path}/out2", 2, "h5")
+
+
+def test_discrimination_of_a_corpus(spark):
+    from framelark.operators.abx import collapsed
+    from framelark.plans.discrimination import abx_from_features, make_items
+
+    rows, feats = [], []
+    for u in range(6):
+        for i, s in enumerate(["#", "x", "aa", "y", "#"] if u % 2 else ["#", "x", "bb", "y", "#"]):
+            rows.append((f"s_{u}", i, 0.1 * (i + 1), s))
+        for t in range(40):
+            feats.append((f"s_{u}", t, [1.0, 0.1 * u] if u % 2 else [0.1 * u, 1.0]))
+    phones = spark.createDataFrame(rows, "utt string, phone_ix int, t_end double, symbol string")
+    features = spark.createDataFrame(feats, "utt string, frame_ix int, feats array<double>")
+    chart = spark.createDataFrame(
+        [("#", "#", "#", "#"), ("x", "X", "C", "ks"), ("aa", "A", "V", "ɑ"), ("bb", "B", "V", None), ("y", "Y", "C", "j")],
+        "toy string, common string, common_reduced string, ipa string")
+    items = make_items(phones, chart, "toy")
+    assert {r["phone"] for r in items.collect()} == {"X", "A", "B", "Y"}
+    scores = abx_from_features(features, items, chart, 2).collect()
+    assert {(r["phone_1"], r["phone_2"]) for r in scores} == {("ɑ", None), (None, "ɑ")}
+    assert all(r["context"] == "X_Y" and r["n"] == 3 * 2 * 3 for r in scores)
+    plain = collapsed(abx_from_features(features, items, chart, 2, False, ipa=False)).collect()
+    assert [(r["phones"], r["n"]) for r in plain] == [("A_B", 36)]
+    sets = spark.createDataFrame([("s_1", "test")], "utt string, set_name string")
+    reduced = make_items(phones, chart, "toy", True, sets, "test").collect()
+    assert [r["phone"] for r in sorted(reduced, key=lambda r: r["phone_ix"])] == ["C", "V", "C"]
