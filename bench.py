@@ -35,6 +35,8 @@ def main() -> None:
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
+    for name in names[:2]:  # the first plans of a session pay for its start
+        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in names:
         times = []
         for turn in range(runs + 1):
