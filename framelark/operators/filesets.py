@@ -213,7 +213,7 @@ def split_corpus(
     base = base.select(
         "utt", F.coalesce("n_tri", F.lit(0)).alias("n_tri"), _draw(F.col("utt"), seed).alias("draw")
     )
-    base = cut_lineage(_numbered(base, []))
+    base = cut_lineage(_numbered(cut_lineage(base), []))
     sizes = target_sizes(base.count(), pct_train)
     n_train, n_fit = sizes["train"], sizes["train"] + sizes["validation"]
     sets = base.withColumn(

@@ -9,8 +9,6 @@ from framelark.plans import stand_ins as si
 from framelark.plans.registry import channels, query, r6
 from framelark.plans.stand_ins import with_views
 
-LAST = "(PARTITION BY utt)"
-
 
 def _clamped(expr: str, k: int) -> str:
     """SQL for the value ``k`` frames away with the edge value repeated."""
@@ -111,9 +109,6 @@ def delta_matrix(spark, sf_dir):
     return rows.withColumn("w", F.round("w", 9) + F.lit(0.0))
 
 
-_TAPS = fr.fir_taps(20, 200, 5)
-
-
 @query("lowpass_fir", with_views("fx_frames") + "SELECT utt, frame_ix, " + ", ".join(
     "round(" + " + ".join(
         f"coalesce(lag({c}, {5 - i}) OVER w, 0) * CAST({h!r} AS DOUBLE)"

@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framelark.functions import kernels
-from framelark.operators import frames as fr
 from framelark.operators import signals as sg
 from framelark.plans import stand_ins as si
 from framelark.plans.registry import channels, query, r6
