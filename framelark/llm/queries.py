@@ -1,4 +1,4 @@
 """Importing the query modules fills the registry."""
 
-from framelark.llm import queries_quality, queries_sampling  # noqa: F401
+from framelark.llm import queries_overlap, queries_quality, queries_sampling  # noqa: F401
 from framelark.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -83,7 +83,7 @@ def informative(features: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int)
     return np.sort(values[best[np.isfinite(gain[best])]])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 250):
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 300):
     """Weights and intercept: accelerated gradient steps on the mean loss."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     v = np.ones(x.shape[1], np.float32)
@@ -227,7 +227,7 @@ def _logit(p):
 def judge_documents(
     docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, text: str = "text",
     host: str = "source", path: Sequence[str] = ("lang",), doc_id: str = "doc_id",
-    max_labelled: int = 12_000, most_features: int = 1_000, limit: float = 0.5, seed: int = 3,
+    max_labelled: int = 12_000, most_features: int = 1_000, limit: float = 0.25, seed: int = 3,
 ) -> DataFrame:
     """``keep`` columns (default: all), the log odds ``low_evidence`` and
     ``toxic_evidence``, the path's ``low_rate`` and ``toxic_rate``, the posterior
