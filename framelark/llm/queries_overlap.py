@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framelark.llm.common import read
+from framelark.llm.overlap_join import near_duplicates
 from framelark.llm.registry import query
 from framelark.llm.spaced_seeds import contaminated
 
@@ -39,3 +40,9 @@ FROM windows WHERE same >= 11 GROUP BY doc_id, item_id
 def spaced_seeds(spark, sf_dir):
     docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return contaminated(docs, benchmark, F.col("doc_id")).withColumnRenamed("key", "doc_id")
+
+
+@query("op10_overlap_join")
+def overlap_join(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")

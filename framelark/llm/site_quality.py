@@ -26,7 +26,7 @@ TARGETS = ("low", "toxic")
 PREFIXES = (0, 4, 5)  # whole words and word beginnings of so many bytes
 BITS = 20
 BINS = 24
-ADDED = ("low_evidence", "toxic_evidence", "low_rate", "toxic_rate", "reject", "kept")
+ADDED = ("low_evidence", "toxic_evidence", "low_rate", "toxic_rate", "low", "toxic", "kept")
 
 
 def _bins(share: np.ndarray) -> np.ndarray:
@@ -72,15 +72,14 @@ def _entropy(*parts):
 
 def informative(features: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` features that tell most about ``y`` (log-likelihood ratio)."""
-    values, column = np.unique(features, return_inverse=True)
+    seen = np.bincount(features, minlength=4 << BITS)
+    both = np.bincount(features[y[doc] > 0], minlength=4 << BITS)
+    values = np.flatnonzero(seen >= 3)
+    seen, both = seen[values].astype(float), both[values].astype(float)
     n, ones = len(y), y.sum()
-    both = np.bincount(column, y[doc], len(values))
-    seen = np.bincount(column, minlength=len(values)).astype(float)
     gain = _entropy(both, seen - both, ones - both, n - ones - seen + both) - _entropy(
         seen, n - seen)
-    gain[seen < 3] = -np.inf
-    best = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(values[best[np.isfinite(gain[best])]])
+    return np.sort(values[np.argsort(-gain, kind="stable")[:most]])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 300):
@@ -107,12 +106,13 @@ def fit(features: np.ndarray, bounds: np.ndarray, y: np.ndarray, most: int):
     if ones in (0, len(y)):  # one kind of label says nothing about features
         odds = np.log((ones + 0.5) / (len(y) - ones + 0.5))
         return np.zeros(0, np.int64), np.zeros(0), float(odds)
-    doc = np.repeat(np.arange(len(y)), np.diff(bounds))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
     chosen = informative(features, doc, y, most)
+    column = np.full(4 << BITS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    column = column[features]
     x = np.zeros((len(y), len(chosen)), np.float32)
-    at = np.searchsorted(chosen, features)
-    hit = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == features)
-    x[doc[hit], at[hit]] = 1
+    x[doc[column >= 0], column[column >= 0]] = 1
     return (chosen, *fit_logistic(x, y.astype(np.float32)))
 
 
@@ -151,13 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, max_labell
     models = []
     for name, one in (("quality", 0), ("toxic", 1)):
         part = sample[sample[name].notna()]
-        arrays = [np.frombuffer(f, np.int32).astype(np.int64) for f in part["features"]]
-        bounds = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int64)
+        found = np.frombuffer(b"".join(part["features"]), np.int32)
+        bounds = np.concatenate(([0], np.cumsum([len(f) // 4 for f in part["features"]])))
         y = (part[name].to_numpy() == one).astype(float)
         if len(y) == 0:
             models.append((np.zeros(0, np.int64), np.zeros(0), -20.0))
         else:
-            models.append(fit(np.concatenate(arrays), bounds, y, most))
+            models.append(fit(found, bounds.astype(np.int64), y, most))
     return models
 
 
@@ -227,11 +227,12 @@ def _logit(p):
 def judge_documents(
     docs: DataFrame, labels: DataFrame, keep: Sequence[str] | None = None, text: str = "text",
     host: str = "source", path: Sequence[str] = ("lang",), doc_id: str = "doc_id",
-    max_labelled: int = 12_000, most_features: int = 1_000, limit: float = 0.25, seed: int = 3,
+    max_labelled: int = 8_000, most_features: int = 1_000, limits: Sequence[float] = (0.5, 0.25),
+    seed: int = 3,
 ) -> DataFrame:
     """``keep`` columns (default: all), the log odds ``low_evidence`` and
     ``toxic_evidence``, the path's ``low_rate`` and ``toxic_rate``, the posterior
-    probability ``reject`` of either, and ``kept`` (``reject`` <= ``limit``).
+    probabilities ``low`` and ``toxic``, and ``kept``: neither is above its limit.
 
     The models see ``max_labelled`` labelled rows at most; everything else, all
     documents. Null text is empty text, null hosts and path parts are groups of
@@ -248,9 +249,8 @@ def judge_documents(
     scored = staged(with_evidence(carried, F.col("_text"), carried.drop("_text"), models))
     rates, overall = path_rates(scored)
     joined = scored.join(rates, ["_host", "_path"])
-    clear = F.lit(1.0)
     for t, g in zip(TARGETS, overall):
         odds = F.col(f"{t}_evidence") + _logit(F.col(f"{t}_rate")) - float(np.log(g / (1 - g)))
-        clear = clear * (1 - 1 / (1 + F.exp(-odds)))
-    return joined.select(*quoted(kept), *ADDED[:4], (1 - clear).alias("reject")).withColumn(
-        "kept", F.col("reject") <= limit)
+        joined = joined.withColumn(t, 1 / (1 + F.exp(-odds)))
+    return joined.select(*quoted(kept), *ADDED[:6]).withColumn(
+        "kept", (F.col("low") <= limits[0]) & (F.col("toxic") <= limits[1]))
