@@ -26,7 +26,7 @@ TARGETS = ("low", "toxic")
 PREFIXES = (0, 4, 5)  # whole words and word beginnings of so many bytes
 BITS = 20
 BINS = 24
-ADDED = ("low_evidence", "toxic_evidence", "low_rate", "toxic_rate", "low", "toxic", "kept")
+ADDED = ("low_evidence", "toxic_evidence", "low_rate", "toxic_rate", "p_low", "p_toxic", "kept")
 
 
 def _bins(share: np.ndarray) -> np.ndarray:
@@ -232,7 +232,7 @@ def judge_documents(
 ) -> DataFrame:
     """``keep`` columns (default: all), the log odds ``low_evidence`` and
     ``toxic_evidence``, the path's ``low_rate`` and ``toxic_rate``, the posterior
-    probabilities ``low`` and ``toxic``, and ``kept``: neither is above its limit.
+    probabilities ``p_low`` and ``p_toxic``, and ``kept``: neither is above its limit.
 
     The models see ``max_labelled`` labelled rows at most; everything else, all
     documents. Null text is empty text, null hosts and path parts are groups of
@@ -251,6 +251,6 @@ def judge_documents(
     joined = scored.join(rates, ["_host", "_path"])
     for t, g in zip(TARGETS, overall):
         odds = F.col(f"{t}_evidence") + _logit(F.col(f"{t}_rate")) - float(np.log(g / (1 - g)))
-        joined = joined.withColumn(t, 1 / (1 + F.exp(-odds)))
+        joined = joined.withColumn(f"p_{t}", 1 / (1 + F.exp(-odds)))
     return joined.select(*quoted(kept), *ADDED[:6]).withColumn(
-        "kept", (F.col("low") <= limits[0]) & (F.col("toxic") <= limits[1]))
+        "kept", (F.col("p_low") <= limits[0]) & (F.col("p_toxic") <= limits[1]))

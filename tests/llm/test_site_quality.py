@@ -80,8 +80,8 @@ def test_odd_rows(make_docs, spark):
     docs = make_docs(texts).withColumn("kept", F.lit("clash")).withColumn(
         "source", F.lit(None).cast("string"))
     rows = site.judge_documents(docs, labels).collect()
-    assert len(rows) == 7 and all(0 <= r.low <= 1 and 0 <= r.toxic <= 1 for r in rows)
-    assert len({(r.low, r.toxic, r.kept) for r in rows if r.doc_id == 5}) == 1
+    assert len(rows) == 7 and all(0 <= r.p_low <= 1 and 0 <= r.p_toxic <= 1 for r in rows)
+    assert len({(r.p_low, r.p_toxic, r.kept) for r in rows if r.doc_id == 5}) == 1
     none = site.judge_documents(docs, labels.where("false")).collect()
     assert all(r.kept for r in none)
     assert site.judge_documents(docs.where("false"), labels).count() == 0
