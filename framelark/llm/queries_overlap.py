@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from framelark.llm import fm_index, repeat_intervals
 from framelark.llm.common import read
 from framelark.llm.overlap_join import near_duplicates
 from framelark.llm.registry import query
@@ -46,3 +47,17 @@ def spaced_seeds(spark, sf_dir):
 def overlap_join(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@query("op4_fm_index")
+def repeated_words(spark, sf_dir):
+    return fm_index.drop_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_repeat_intervals")
+def repeated_bytes(spark, sf_dir):
+    return repeat_intervals.drop_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
