@@ -1,6 +1,8 @@
 """Column expressions over feature vectors (``ARRAY<DOUBLE>``)."""
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,16 +14,21 @@ def vector(fn: Callable[..., Column], *arrays: Column, width: int) -> Column:
     """Apply ``fn(a_i, b_i, ...)`` to every position of same-width arrays.
 
     Narrow vectors are written out position by position, which keeps the
-    arithmetic in generated code; wide ones use one ``transform``.
+    arithmetic in generated code; wide ones use one ``transform``. An array of
+    another width fails the job; a NULL one reads as NULL everywhere.
     """
     if width <= UNROLL_LIMIT:
-        return F.array(
+        out = F.array(
             *[fn(*[F.get(a, F.lit(i)) for a in arrays]) for i in range(width)]
         )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: fn(*[F.get(a, i) for a in arrays]),
-    )
+    else:
+        out = F.transform(
+            F.sequence(F.lit(0), F.lit(width - 1)),
+            lambda i: fn(*[F.get(a, i) for a in arrays]),
+        )
+    fits = [a.isNull() | (F.size(a) == width) for a in arrays]
+    message = F.lit(f"a vector has another width than {width}")
+    return F.when(reduce(and_, fits), out).otherwise(F.raise_error(message))
 
 
 def zeros(width: int) -> Column:

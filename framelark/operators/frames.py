@@ -82,23 +82,38 @@ def by_segment(ix: str, segment: int | None = None) -> Column:
 
 def salted_join(
     frames: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner",
-    spread: Column | None = None, salts: int = SALTS,
+    spread: Column | None = None, salts: int = SALTS, null_safe: bool = False,
 ) -> DataFrame:
     """Join many rows to one row per key without a hot task for a hot key.
 
     ``side`` (one row per key) is copied ``salts`` times and the frames of a
     key are spread over the copies by ``spread`` (default: their number).
+    With ``null_safe`` a NULL key meets a NULL key.
     """
     spread = F.col("frame_ix") if spread is None else spread
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     copies = side.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    if null_safe:
+        return null_safe_join(
+            frames.withColumn("_salt", salt), copies, [*on, "_salt"], how).drop("_salt")
     return frames.withColumn("_salt", salt).join(
         copies, [*on, "_salt"], how
     ).drop("_salt")
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on columns of both sides where NULL equals NULL."""
+    side = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(side, match, how).drop(*[f"_right_{k}" for k in on])
+
+
 def dimension_join(
     rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner",
     limit: int = 100_000,

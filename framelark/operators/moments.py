@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions.scalars import scaled
 from framelark.functions.vectors import vector
-from framelark.operators.frames import long_form, salted_join
+from framelark.operators.frames import long_form, null_safe_join, salted_join
 
 SCOPE_KEYS = {"corpus": [], "speaker": ["speaker"], "file": ["speaker", "utt"]}
 DIVISORS = {"stds": "std", "spread": "spread"}
@@ -42,7 +42,7 @@ def rolled_up(file_moments: DataFrame, scope: str) -> DataFrame:
     off = F.col("mean") - F.col("_mean")
     square = F.col("n") * (F.col("std") * F.col("std") + off * off)
     return (
-        file_moments.join(totals, keys)
+        null_safe_join(file_moments, totals, keys)
         .groupBy(*keys)
         .agg(
             F.sum("n").alias("n"),
@@ -101,7 +101,7 @@ def with_moments(
             *frames.columns, F.col("_row._means").alias("_means"),
             F.col("_row._divs").alias("_divs"),
         )
-    return salted_join(frames, packed, keys)
+    return salted_join(frames, packed, keys, null_safe=True)
 
 
 def _rescaled(frames: DataFrame, fn, width: int) -> DataFrame:

@@ -33,12 +33,14 @@ class CorpusAdapter(Protocol):
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
-    """Channel names by the first file's header."""
-    table = binary.est_channels(spark, path)
-    first = table.groupBy("utt").agg(
-        F.array_sort(F.collect_list(F.struct("channel", "name"))).alias("c")
-    ).orderBy("utt").limit(1)
-    return [c["name"].strip() for row in first.collect() for c in row["c"]]
+    """Channel names by the first file's header; only that file is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.ema").option(
+        "recursiveFileLookup", "true").load(path)
+    first = listed.agg(F.min("path").alias("path")).first()["path"]
+    if first is None:
+        return []
+    table = binary.est_channels(spark, first).orderBy("channel")
+    return [row["name"].strip() for row in table.collect()]
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,7 @@ class Mocha:
     ema_rate: int = 500
     lowest_limit: int = 9
     same_speaker_data: bool = True
+    source_rates: tuple[int, ...] = (16000,)  # of the files; others fail the job
 
     # Speakers and articulators of the corpus.
     @property
@@ -69,7 +72,7 @@ class Mocha:
 
     def audio(self, spark):
         raw = binary.read_audio(spark, self.folder, binary.decode_sphere)
-        return binary.audio_at_rate(raw, [self.audio_rate], self.audio_rate)
+        return binary.audio_at_rate(raw, list(self.source_rates), self.audio_rate)
 
     def larynx(self, spark) -> DataFrame:
         """Laryngograph energy: 200 ms frames every 2 ms, at the track's rate."""
@@ -85,8 +88,11 @@ class Mocha:
 
         The larynx is looked up only when named (or when nothing is named).
         """
-        names = self.channel_names(spark)[:-1]
-        track = binary.read_est(spark, self.folder).select("utt", "frame_ix", "feats")
+        if articulators is None:
+            names = self.channel_names(spark)[:-1]
+        else:
+            names = [a for a in articulators if a != "larynx"]
+        track = binary.read_est(spark, self.folder, names=names).select("utt", "frame_ix", "feats")
         track, width = scale(track, 1 / 1000, len(names)), len(names)
         if articulators is None or "larynx" in articulators:
             energy = scale(self.larynx(spark), 10, 1).select(
@@ -112,6 +118,7 @@ class Mngu0:
     ema_rate: int = 200
     lowest_limit: int = 9
     same_speaker_data: bool = False
+    source_rates: tuple[int, ...] = (16000,)
 
     # Articulators of the corpus.
     @property
@@ -129,16 +136,16 @@ class Mngu0:
         return text.list_utterances(spark, f"{self.folder}/wav_16kHz", ".wav")
 
     def audio(self, spark):
-        return binary.read_audio(spark, f"{self.folder}/wav_16kHz")
+        raw = binary.read_audio(spark, f"{self.folder}/wav_16kHz")
+        return binary.audio_at_rate(raw, list(self.source_rates), self.audio_rate)
 
     def channel_names(self, spark):
         return _names(spark, f"{self.folder}/ema_basic_data")
 
     def ema(self, spark, articulators=None):
-        track = binary.read_est(spark, f"{self.folder}/ema_basic_data")
-        return _chosen(
-            track.select("utt", "frame_ix", "feats"), self.channel_names(spark), articulators
-        )
+        names = self.channel_names(spark) if articulators is None else articulators
+        track = binary.read_est(spark, f"{self.folder}/ema_basic_data", names=list(names))
+        return track.select("utt", "frame_ix", "feats")
 
     def phones(self, spark):
         return text.read_mngu0_labels(spark, f"{self.folder}/phone_labels/*.lab")
@@ -160,6 +167,7 @@ class Mspka:
     ema_rate: int = 400
     lowest_limit: int = 9
     same_speaker_data: bool = False
+    source_rates: tuple[int, ...] = (22050,)
 
     # Speakers, channels and articulators of the corpus.
     @property
@@ -184,7 +192,8 @@ class Mspka:
         return natural_order(rows, "utt")
 
     def audio(self, spark):
-        return binary.read_audio(spark, self.folder)
+        raw = binary.read_audio(spark, self.folder)
+        return binary.audio_at_rate(raw, list(self.source_rates), self.audio_rate)
 
     def ema(self, spark, articulators=None):
         rows = text.read_channel_lines(spark, f"{self.folder}/*/ema_1.0.0/*.ema")

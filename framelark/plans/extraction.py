@@ -87,10 +87,15 @@ def store_extracted(kinds: dict[str, DataFrame], path: str, corpus: str) -> None
 
 def normalize_kind(
     spark: SparkSession, path: str, corpus: str, kind: str, norm_type: str,
-    scope: str = "corpus", width: int = 1, mode: str = "errorifexists",
+    scope: str = "corpus", width: int | None = None, mode: str = "errorifexists",
 ) -> str:
-    """Normalise a stored kind and store the result under its norm's name."""
+    """Normalise a stored kind and store the result under its norm's name.
+
+    The width is that of the stored vectors; frames of another one fail the job.
+    """
     frames = store.read_features(spark, path, corpus, kind)
+    if width is None:
+        width = frames.agg(F.max(F.size("feats")).alias("w")).first()["w"] or 0
     if "speaker" not in frames.columns:
         frames = frames.withColumn("speaker", F.substring_index("utt", "_", 1))
     rows = mo.normalize(frames, norm_type, scope, width).drop("speaker")

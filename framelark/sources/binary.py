@@ -115,7 +115,14 @@ def read_audio(
 def audio_at_rate(
     audio: DataFrame, rates: list[int], to_rate: int, block: int = BLOCK
 ) -> DataFrame:
-    """Bring audio of the listed rates to one rate."""
+    """Bring audio of the listed rates to one rate; another rate fails the job."""
+    message = F.concat(
+        F.col("utt"), F.lit(f": a sampling rate not among {sorted(rates)}: "),
+        F.col("sr").cast("string"),
+    )
+    audio = audio.withColumn(
+        "sr", F.when(F.col("sr").isin(rates), F.col("sr")).otherwise(F.raise_error(message))
+    )
     parts = []
     for rate in rates:
         rows = audio.where(F.col("sr") == rate)
@@ -176,10 +183,23 @@ def decode_est(content: bytes) -> tuple[list[str], np.ndarray]:
     return [names[i] for i in sorted(names)], data.reshape(n_frames, n_channels + 2)
 
 
-def read_est(spark: SparkSession, path: str, suffix: str = ".ema") -> DataFrame:
-    """``(utt, frame_ix, time, feats)``."""
+def read_est(
+    spark: SparkSession, path: str, suffix: str = ".ema", names: list[str] | None = None
+) -> DataFrame:
+    """``(utt, frame_ix, time, feats)``.
+
+    With ``names``, the channels of those names by each file's own header, in
+    the asked order; a file without one of them fails the job.
+    """
     def rows(utt: str, content: bytes) -> Iterator[dict]:
-        for keys, part in _frame_batches(utt, decode_est(content)[1]):
+        found, data = decode_est(content)
+        if names is not None:
+            place = {name.strip(): i + 2 for i, name in enumerate(found)}
+            missing = sorted(set(names) - set(place))
+            if missing:
+                raise ValueError(f"{utt}: no channel {', '.join(missing)}")
+            data = data[:, [0, 1, *[place[name] for name in names]]]
+        for keys, part in _frame_batches(utt, data):
             yield {**keys, "time": pa.array(part[:, 0]), "feats": list_column(part[:, 2:])}
 
     return _decoded(

@@ -65,7 +65,7 @@ def read_channels(spark: SparkSession, path: str, corpus: str, kind: str = "ema"
     table = spark.read.schema(
         "corpus string, kind string, channel int, name string"
     ).json(f"{path}/{corpus}_{kind}")
-    return [r["name"] for r in table.orderBy("channel").limit(100_000).collect()]
+    return [r["name"] for r in table.orderBy("channel").collect()]
 
 
 def write_timed_features(frames: DataFrame, path: str, sampling_rate: float = 100) -> None:

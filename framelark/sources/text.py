@@ -104,7 +104,12 @@ def read_mngu0_labels(spark: SparkSession, path: str) -> DataFrame:
     header = rows.where(F.col("line") == "#").groupBy("path").agg(
         F.min("line_ix").alias("_header")
     )
-    body = salted_join(rows, header, ["path"], spread=F.col("line_ix"))
+    body = salted_join(rows, header, ["path"], "left", spread=F.col("line_ix"))
+    message = F.concat(F.lit("no line # in "), F.col("path"))
+    body = body.withColumn(
+        "_header", F.when(F.col("_header").isNotNull(), F.col("_header")).otherwise(
+            F.raise_error(message))
+    )
     clean = F.replace(
         F.trim(F.col("line"), F.lit("\t")), F.lit(" 26 "), F.lit("")
     )
