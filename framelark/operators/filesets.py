@@ -119,7 +119,7 @@ def _draw(utt: Column, seed: int) -> Column:
 def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number along the draw; its leading digits are the buckets."""
     bucket = F.floor(F.col("draw") / (PLACES // 4096))
-    return number_rows(df, keys, ["draw", "utt"], bucket, "rank")
+    return number_rows(df, keys, ["draw", "utt"], bucket, "rank", "bigint")
 
 
 def _holders(kept: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,7 +265,8 @@ def _even_out(sets: DataFrame, holders: DataFrame, sizes: dict[str, int]) -> Dat
 
 def same_speaker_rank(utterances: DataFrame) -> DataFrame:
     """Rank of each ``(speaker, utt)`` in its speaker's list, from 0."""
-    return number_rows(utterances, ["speaker"], ["utt"], None, "rank")
+    return number_rows(
+        utterances, ["speaker"], ["utt"], None, "rank", "bigint", null_keys=True)
 
 
 def generalize_to_speakers(sets: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -31,15 +31,21 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-    bucket: Column | None, value: Column, name: str,
+    bucket: Column | None, value: Column, name: str, null_keys: bool = False,
 ) -> DataFrame:
     """Add the sum of ``value`` up to and including each row, along ``order``.
 
     ``bucket`` must not decrease along ``order``. Rows are summed up inside
     (keys, bucket); the bucket sums, a far smaller table, give the offsets.
     Without a bucket, rows are range-partitioned by keys and order, and the
-    partition, once written down, serves as one.
+    partition, once written down, serves as one. Unless ``null_keys``, a NULL key
+    fails the job: offsets are joined by plain equality, for which the window's
+    own partitioning serves.
     """
+    if not null_keys:
+        df = df.withColumns({
+            k: F.coalesce(F.col(k), F.raise_error(F.lit(f"{k} is NULL"))) for k in keys
+        })
     if bucket is None:
         spread = df.repartitionByRange(*keys, *order)
         tagged = cut_lineage(spread.withColumn("_bucket", F.spark_partition_id()))
@@ -58,9 +64,10 @@ def running_total(
         Window.unboundedPreceding, 0
     )
     local = tagged.withColumn("_local", F.sum(value).over(inside))
-    match = F.col("_bucket").eqNullSafe(F.col("_b"))
+    match = F.col("_bucket") == F.col("_b")
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        other = F.col(f"_{k}")
+        match = match & (F.col(k).eqNullSafe(other) if null_keys else F.col(k) == other)
     return local.join(offsets, match).select(
         *df.columns, (F.col("_offset") + F.col("_local")).alias(name)
     )
@@ -68,11 +75,12 @@ def running_total(
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-    bucket: Column | None, name: str = "frame_ix",
+    bucket: Column | None, name: str = "frame_ix", kind: str = "int",
+    null_keys: bool = False,
 ) -> DataFrame:
     """Number rows 0.. within ``keys`` along ``order``, as in ``running_total``."""
-    rows = running_total(df, keys, order, bucket, F.lit(1), name)
-    return rows.withColumn(name, (F.col(name) - 1).cast("int"))
+    rows = running_total(df, keys, order, bucket, F.lit(1), name, null_keys)
+    return rows.withColumn(name, (F.col(name) - 1).cast(kind))
 
 
 def by_segment(ix: str, segment: int | None = None) -> Column:
