@@ -19,14 +19,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelark.llm.common import staged
+from framelark.llm.common import packed, staged, unpacked
 from framelark.llm.text import BASE, covered, mix64, slices, word_hashes, word_spans
 
 LAST = 2**63 - 1
+SLICE = 1 << 20
 
 
 class Words:
@@ -128,30 +128,6 @@ def doc_order(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
 
 
-def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(key, doc_id, doc, packed)`` with the text compressed for the shuffle."""
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-
-    def pack(batches):
-        press = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.array([press(t or b"") for t in texts], pa.binary())],
-                names=["key", "doc_id", "doc", "packed"])
-
-    return docs.select(
-        row_hash(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"),
-        doc_order(doc_id).alias("doc"), F.col(text).alias("_text"),
-    ).mapInArrow(pack, f"key long, doc_id {kind}, doc long, packed binary")
-
-
-def unpacked(column: pa.Array) -> list[bytes]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    return [open_(x, max_output_size=0) if x else b"" for x in column.to_pylist()]
-
-
 def repeated_spans(
     docs: DataFrame, doc_id: str, text: str, unit, shard: Callable, same_document: bool,
     shard_bytes: int,
@@ -165,8 +141,8 @@ def repeated_spans(
     """
     def anchors(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for at, end, data, bounds in slices(batch.column(1)):
+            docs_ = batch.column(0).to_numpy()
+            for at, end, data, bounds in slices(batch.column(1), SLICE):
                 doc, begin, stop, anchor, grams, _ = pieces(unit, data, bounds, same_document)
                 seen = np.lexsort((doc, anchor))
                 anchor, doc, grams = anchor[seen], doc[seen], grams[seen]
@@ -177,13 +153,13 @@ def repeated_spans(
                 if same_document and len(first):
                     count = np.minimum(np.add.reduceat(np.maximum(grams, 1), first), 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[new].view(np.int64)), pa.array(keys[at:end][doc[new]]),
-                     pa.array(count)], names=["anchor", "key", "n"])
+                    [pa.array(anchor[new].view(np.int64)), pa.array(docs_[at:end][doc[new]]),
+                     pa.array(count)], names=["anchor", "doc", "n"])
 
-    recurring = docs.select(row_hash(doc_id, text).alias("key"), F.col(text).alias("_text")).mapInArrow(
-        anchors, "anchor long, key long, n long"
+    recurring = docs.select(doc_order(doc_id).alias("doc"), F.col(text).alias("_text")).mapInArrow(
+        anchors, "anchor long, doc long, n long"
     ).withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1")
-    wanted = recurring.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = recurring.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
 
     def cut(batches):
         for batch in batches:
@@ -216,47 +192,45 @@ def repeated_spans(
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    texts = packed(docs, doc_id, text).select("key", "doc", "packed")
-    found = staged(texts.join(wanted, "key").mapInArrow(
+    texts = packed(docs, text, row_hash(doc_id, text), doc_order(doc_id).alias("doc"))
+    found = staged(texts.join(wanted, "doc").select("key", "doc", "packed", "anchors").mapInArrow(
         lambda batches: joined(cut(batches)),
         "anchor long, content binary, key long, doc long, start long, size long",
-    ).select(
-        "anchor", "content", F.xxhash64("content").alias("c1"),
-        F.xxhash64(F.lit(9), "content").alias("c2"), "key", "doc", "start", "size"))
-    contents = staged(found.groupBy("c1", "c2").agg(
-        F.first("anchor").alias("anchor"), F.first("content").alias("content"),
+    ).select(F.xxhash64("content").alias("c"), "anchor", "content", "key", "doc", "start", "size"))
+    contents = staged(found.groupBy("anchor", "c").agg(
+        F.first("content").alias("content"),
         F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"),
-    ).select("c1", "c2", "anchor", "content", "first.doc", "first.start", "n"))
+    ).select("anchor", "c", "content", "first.doc", "first.start", "n"))
 
     weight = F.sum(F.length("content"))
+    weights = contents.groupBy("anchor").agg(weight.alias("bytes"), F.count(F.lit(1)).alias("n"))
     total = contents.agg(weight.alias("b")).first()["b"] or 0
-    hot = staged(contents.groupBy("anchor").agg(weight.alias("bytes")).where(
-        F.col("bytes") > shard_bytes // 2))
+    hot = staged(weights.where(F.col("bytes") > shard_bytes // 2).select("anchor", "bytes"))
     shards = max(1, -(-total // shard_bytes))
     spread = max(1, -(-(hot.agg(F.sum("bytes").alias("b")).first()["b"] or 0) * unit.window // shard_bytes))
 
     def each_window(batches):
         for batch in batches:
-            c1, c2, doc, start = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            anchor, c, doc, start = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             out = [[] for _ in range(6)]
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 whole = raw.split() if isinstance(unit, Words) else raw
                 for at in range(len(whole) - unit.window + 1):
                     part = whole[at:at + unit.window]
                     part = b" ".join(part) if isinstance(unit, Words) else part
-                    for to, v in zip(out, (c1[i], c2[i], part, doc[i], start[i] + at, at)):
+                    for to, v in zip(out, (anchor[i], c[i], part, doc[i], start[i] + at, at)):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([
                 pa.array(v, t) for v, t in zip(out, (
                     pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-            ], names=["c1", "c2", "content", "doc", "start", "at"])
+            ], names=["anchor", "c", "content", "doc", "start", "at"])
 
-    columns = ["c1", "c2", "content", "doc", "start"]
+    columns = ["anchor", "c", "content", "doc", "start"]
     dealt = contents.join(hot, "anchor", "left_anti").select(
         *columns, F.lit(0).cast("long").alias("at"),
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"),
     ).unionByName(contents.join(hot.select("anchor"), "anchor").select(*columns).mapInArrow(
-        each_window, "c1 long, c2 long, content binary, doc long, start long, at long"
+        each_window, "anchor long, c long, content binary, doc long, start long, at long"
     ).withColumn("shard", shards + F.pmod(F.xxhash64("content"), F.lit(spread))))
 
     def search(table):
@@ -264,29 +238,29 @@ def repeated_spans(
         number, offset, length = shard(table.column("content").to_pylist(), firsts, unit)
         take = pa.array(number)
         return pa.table({
-            "c1": table.column("c1").take(take), "c2": table.column("c2").take(take),
+            "anchor": table.column("anchor").take(take), "c": table.column("c").take(take),
             "offset": pa.array(offset + table.column("at").to_numpy()[number]),
             "length": pa.array(length),
         })
 
-    listed = dealt.groupBy("shard").applyInArrow(
-        search, "c1 long, c2 long, offset long, length long"
-    ).groupBy("c1", "c2").agg(F.collect_list(F.struct("offset", "length")).alias("listed"))
+    listed = staged(dealt.groupBy("shard").applyInArrow(
+        search, "anchor long, c long, offset long, length long"
+    ).groupBy("anchor", "c").agg(F.collect_list(F.struct("offset", "length")).alias("listed")))
 
-    places = found.select("c1", "c2", "key", "doc", "start", "size").join(contents.select(
-        "c1", "c2", F.col("doc").alias("d"), F.col("start").alias("s"), "n",
-    ), ["c1", "c2"])
+    places = found.select("anchor", "c", "key", "doc", "start", "size").join(contents.select(
+        "anchor", "c", F.col("doc").alias("d"), F.col("start").alias("s"), "n",
+    ), ["anchor", "c"])
     own = F.col("doc") == F.col("d")
     if same_document:
         own = own & (F.col("start") == F.col("s"))
     whole = places.where("n > 1").where(~own).select(
         "key", "start", (F.col("start") + F.col("size")).alias("stop"))
-    parts = places.where(own).join(listed, ["c1", "c2"]).select(
+    parts = places.where(own).join(listed, ["anchor", "c"]).select(
         "key", "start", F.explode("listed").alias("p")).select(
         "key", (F.col("start") + F.col("p.offset")).alias("start"),
         (F.col("start") + F.col("p.offset") + F.col("p.length")).alias("stop"))
-    return whole.unionByName(parts).groupBy("key").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return staged(whole.unionByName(parts).groupBy("key").agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
 def removed(spans, n: int) -> np.ndarray:

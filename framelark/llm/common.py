@@ -1,7 +1,10 @@
 """Staged tables, running offsets and column helpers of the text operators."""
 
+import gc
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +18,19 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder, read it back.
 
     Lineage ends at the files, so a lost executor costs only what it ran. The
-    files go when the session ends (``deleteOnExit``).
+    files go when the session ends (``deleteOnExit``). Shuffle files of the
+    jobs that made them go at once: Spark drops them when the driver's garbage
+    collector finds the shuffle unreachable, which it is asked to look for here.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext
     root = f"{context.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(root)
+    df.write.option("compression", "zstd").parquet(root)
     path = context._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    gc.collect()
+    context._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(root)
 
 
@@ -50,6 +57,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame, text: str, key: Column, *more: Column) -> DataFrame:
+    """``key``, ``more`` and ``packed``: the text compressed, for a shuffle."""
+    rows = docs.select(key.alias("key"), *more, F.col(text).cast("binary").alias("packed"))
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            texts = [press(t or b"") for t in batch.column("packed").to_pylist()]
+            columns = [*batch.columns[:-1], pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(pack, rows.schema)
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(x) if x else b"" for x in column.to_pylist()]
+
+
 def offsets(counts: DataFrame, key: str, n: str, block: int = 4096) -> DataFrame:
     """``(key, start)``: sums of ``n`` over all smaller integer keys.
 

@@ -16,8 +16,10 @@ together; a streamed content is indexed in its own shard, so no step fails.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framelark.llm.anchors import Words, packed, removed, repeated_spans, unpacked
+from framelark.llm.anchors import Words, removed, repeated_spans, row_hash
+from framelark.llm.common import packed, unpacked
 from framelark.llm.text import word_hashes, word_spans
 
 WINDOW = 13
@@ -150,7 +152,7 @@ def drop_repeats(
     no words; ids are integers, null counts as larger than all; rows of one id
     are no smaller than each other. An empty table gives an empty one.
     """
-    unit = Words(window, min(4, window))
+    unit = Words(window, min(7, window))
     spans = repeated_spans(docs, doc_id, text, unit, earlier_windows, False, shard_bytes)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
@@ -171,7 +173,8 @@ def drop_repeats(
                 pa.array(ranges, pa.list_(pair)), pa.array(kept, pa.binary()).cast(pa.string()),
             ], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return packed(docs, doc_id, text).drop("doc").join(spans, "key", "left").select(
+    ids = F.col(doc_id).alias("doc_id")
+    return packed(docs, text, row_hash(doc_id, text), ids).join(spans, "key", "left").select(
         "doc_id", "packed", "spans").mapInArrow(
         keep, f"doc_id {kind}, n_words long, n_removed long,"
         " spans array<struct<start: long, stop: long>>, kept string")

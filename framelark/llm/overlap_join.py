@@ -8,9 +8,12 @@ that is, when they share T = ceil(4(|A| + |B|) / 9) shingles. The work:
    shingles under n - ceil(4n/5) + 1, for two linked nodes must share one of
    those in any common order. The order puts shingles last that are frequent
    in a sample of documents; the sample changes the order, never the result.
-3. Candidates of a list are first compared with the list's first node, which
-   joins large groups of near copies by a number of pairs linear in their size.
-   Then the pairs across the components found so far are compared, all of them.
+3. The prefixes of linked nodes share not one shingle but ``shared_prefix`` of
+   them, so pairs that meet in fewer lists are no candidates. The nodes of a
+   list are first compared with some drawn heads of it, again and again: large
+   groups of near copies grow together by numbers of pairs linear in their
+   size, until the pairs across components are few beside the lists (or a draw
+   links nothing). Then all pairs across components are compared.
 4. Pairs are compared in blocks, one query node against some candidates, by
    DivideSkip: of the query's lists over the candidates the longest are set
    aside, the short ones are merged with a heap, and candidates with enough
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelark.llm.common import staged
+from framelark.llm.common import packed, staged, unpacked
 from framelark.llm.text import mix64, slices, windows, word_hashes, word_spans
 
 LENGTH = 5
 SAMPLED = 16  # one document of so many tells which shingles are frequent
 FREQUENT = 3  # seen in so many sampled documents
 MOST_FREQUENT = 500_000  # bounds what is broadcast: 16 bytes each
+HEADS = 12  # nodes of a list that one draw compares with all others
+LINEAR = 8  # pairs across components, per row of the lists, that end the draws
 BLOCK = 256  # candidates of one query compared in one group
 LONG_LISTS = 0.0085  # the published weight of the split into short and long lists
 LOWER = np.arange(256, dtype=np.uint8)
@@ -147,6 +152,16 @@ def needed(n: int, m) -> np.ndarray:
     return (4 * (n + m) + 8) // 9
 
 
+def shared_prefix(n: Column, m: Column) -> Column:
+    """How many prefix shingles linked sets of n and m share at least.
+
+    A set of n lacks at most n - T of the other's shingles in all, and so of its
+    prefix; up to that many of its own may stand before a shared one.
+    """
+    t = F.floor((4 * (n + m) + 8) / 9)
+    return F.least(*[t - F.floor((4 * x + 4) / 5) + 1 for x in (n, m)])
+
+
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     """Numbers of the candidates that share enough shingles with the query."""
     k = len(candidates)
@@ -190,41 +205,35 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     return found
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose sets overlap enough."""
-    pairs = staged(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = docs.select(row_digest(doc_id, text).alias("key"), F.col(text).alias("_text")).join(
-        wanted.join(nodes.select("node", "key"), "node").select("key"), "key").select("_text")
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sets overlap enough.
 
-    def load(batches):
-        for batch in batches:
-            for value, doc, n_docs in shingle_sets(batch.column(0)):
-                n, first, node, _ = signatures(value, doc, n_docs, seed)
-                raw = [value[a:a + m].tobytes() for a, m in zip(first, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(raw, pa.binary())], names=["node", "shingles"])
-
-    sets = staged(rows.mapInArrow(load, "node long, shingles binary").groupBy("node").agg(
-        F.first("shingles").alias("shingles")))
+    Compressed texts travel to the blocks, not sets, which are a multiple in size.
+    """
+    pairs = staged(pairs)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     blocks = pairs.join(many, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    candidates = blocks.join(sets.withColumnRenamed("node", "b"), "b")
-    queries = blocks.select("a", "block").distinct().join(
-        sets.withColumnRenamed("node", "a"), "a").withColumn("b", F.lit(None).cast("long"))
+    members = blocks.select("a", "block", F.col("b").alias("node")).unionByName(
+        blocks.select("a", "block", F.col("a").alias("node")).distinct())
+    wanted = members.join(nodes.select("node", "key"), "node")
+    texts = packed(docs, text, row_digest(doc_id, text))
 
     def search(key, rows):
-        a = np.asarray(rows.column("b").is_null())
-        raw = rows.column("shingles").to_pylist()
-        query = np.frombuffer(raw[int(np.flatnonzero(a)[0])], np.uint64)
-        others = np.flatnonzero(~a)
-        found = divide_skip(query, [np.frombuffer(raw[i], np.uint64) for i in others])
-        b = rows.column("b").take(pa.array(others[found], pa.int64())).cast(pa.int64())
-        return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": b})
-
-    return staged(candidates.unionByName(queries).groupBy("a", "block").applyInArrow(
-        search, "a long, b long"))
+        a = key[0].as_py()
+        number = rows.column("node").to_numpy()
+        _, first = np.unique(number, return_index=True)  # rows that repeat count once
+        sets, numbers = [], number[first]
+        for raw in unpacked(rows.column("packed").combine_chunks().take(pa.array(first))):
+            sets += [value for value, _, _ in shingle_sets(pa.array([raw], pa.binary()))]
+        query = int(np.flatnonzero(numbers == a)[0])
+        others = [i for i in range(len(numbers)) if i != query]
+        found = divide_skip(sets[query], [sets[i] for i in others])
+        b = numbers[[others[i] for i in found]].astype(np.int64)
+        return pa.table({"a": pa.array(np.full(len(b), a, np.int64)), "b": pa.array(b)})
+
+    return staged(texts.join(wanted, "key").select("a", "block", "node", "packed").groupBy(
+        "a", "block").applyInArrow(search, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,21 +245,90 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).where("u <> v").distinct())
+    before = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = staged(both.where("v > u").join(least, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = both.where("v > u").join(least, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = staged(large.distinct())
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = staged(large.join(root, "u").select(
+        edges = staged(large.join(root, "u").select(
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").where("u <> v").distinct())
-        if small.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(
-                small, ["u", "v"], "left_anti").isEmpty():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        edges = small
+        now = _digest(edges)
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Equal for equal edge tables: their number and two sums of hashes."""
+    each = [F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38, 0)")) for i in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *each).first())
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, root)`` once more links join components; only roots are searched."""
+    at = lambda side: links.join(roots.withColumnRenamed("node", side), side, "left").select(
+        "a", "b", F.coalesce("root", side).alias(f"root_{side}"))
+    ends = at("a").join(at("b"), ["a", "b"])
+    over = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    over = over.select(F.col("node").alias("root"), F.col("root").alias("_over"))
+    moved = roots.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root"))
+    new = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(
+        F.col("root").alias("node"), F.col("_over").alias("root"))
+    return moved.unionByName(new)
+
+
+def _close(n: Column, m: Column) -> Column:
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def _head_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Nodes with some nodes of other components that stand first in a draw.
+
+    A number of pairs linear in the lists; which of them, changes no result.
+    """
+    draw = Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    drawn = lists.withColumn("place", F.row_number().over(draw))
+    heads = drawn.where(F.col("place") <= HEADS).select(
+        "h", F.col("node").alias("m"), F.col("n").alias("n_m"), F.col("root").alias("root_m"))
+    met = drawn.join(heads, "h").where("root <> root_m").where(
+        (F.col("place") > HEADS) | (F.col("m") < F.col("node"))
+    ).where(_close(F.col("n"), F.col("n_m"))).groupBy("node", "m", "n", "n_m").count()
+    # Heads differ from list to list, so only a share of the meetings is seen.
+    return met.where(2 * F.col("count") >= shared_prefix(F.col("n"), F.col("n_m"))).select(
+        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with their nodes' components; lists of one component are done with."""
+    placed = staged(lists.drop("root").join(roots, "node", "left").select(
+        "h", "node", "n", F.coalesce("root", "node").alias("root")))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+        "x <> y").select("h")
+    return staged(placed.join(mixed, "h"))
+
+
+def _crossing(lists: DataFrame) -> int:
+    """Pairs of a list that are in different components, over all lists."""
+    held = lists.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
+        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return held.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("x")).first()["x"] or 0
+
+
+def _cross_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs across components that meet in as many lists as linked ones must."""
+    other = lists.select("h", F.col("root").alias("root_b")).distinct()
+    met = lists.join(other, "h").where("root < root_b").join(lists.select(
+        "h", F.col("root").alias("root_b"), F.col("node").alias("m"), F.col("n").alias("n_m"),
+    ), ["h", "root_b"]).where(_close(F.col("n"), F.col("n_m"))).groupBy(
+        "node", "m", "n", "n_m").count()
+    return met.where(F.col("count") >= shared_prefix(F.col("n"), F.col("n_m"))).select(
+        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,41 +344,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     frequent = frequent_shingles(docs, text, id_key)
     seed = 0
     while True:
-        rows = staged(prefixes(docs, doc_id, text, frequent, seed))
+        signed = prefixes(docs, doc_id, text, frequent, seed)
+        by_set = signed.groupBy("node", "check", "n").agg(F.first("prefix").alias("prefix"))
+        rows = staged(signed.drop("prefix"))
         nodes = staged(rows.where("n > 0").groupBy("node", "check", "n").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"),
-            F.first("prefix").alias("prefix"),
-        ).select("node", "n", "first.doc_id", "first.key", "prefix"))
+        ).select("node", "n", "first.doc_id", "first.key"))
         sizes = nodes.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("m")).first()
         if sizes["n"] == sizes["m"]:
             break
         seed += 1  # two sets of one signature: sign all anew
 
-    along = Window.partitionBy("h").orderBy("n", "node")
-    lists = staged(nodes.select(F.explode("prefix").alias("h"), "node", "n").select(
-        "h", "node", "n", F.first("node").over(along).alias("head"),
-        F.first("n").over(along).alias("head_n"), F.lead("node").over(along).alias("next"),
-    ).where("next is not null or head <> node").drop("next"))
-    close = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
-    stars = staged(lists.where("head <> node").where(close("n", "head_n")).select(
-        F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = linked(stars, nodes, docs, doc_id, text, seed)
-
-    roots = components(links)
-    placed = staged(lists.select("h", "node", "n").join(roots, "node", "left").select(
-        "h", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
-        "x <> y").select("h")
-    placed = staged(placed.join(mixed, "h"))
-    other = placed.select("h", F.col("root").alias("root_b")).distinct()
-    across = placed.join(other, "h").where("root < root_b").join(placed.select(
-        "h", F.col("root").alias("root_b"), F.col("node").alias("m"), F.col("n").alias("n_m"),
-    ), ["h", "root_b"]).where(close("n", "n_m")).select(
-        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, doc_id, text, seed)
+    along = Window.partitionBy("h").orderBy("node")
+    lists = staged(by_set.select(F.explode("prefix").alias("h"), "node", "n").withColumn(
+        "other", F.coalesce(F.lag("node").over(along), F.lead("node").over(along))
+    ).where("other is not null").select("h", "node", "n", F.col("node").alias("root")))
+    bound = LINEAR * lists.count()
+    roots, turn = lists.select("node", "root").limit(0), 0
+    while True:  # large groups: some heads of each list against all its nodes
+        links = linked(_head_pairs(lists, turn), nodes, docs, doc_id, text)
+        turn += 1
+        done = links.isEmpty()
+        if not done:
+            roots = staged(joined_components(roots, links))
+            lists = _with_roots(lists, roots)
+        if done or _crossing(lists) <= bound:
+            break
+    more = linked(_cross_pairs(lists), nodes, docs, doc_id, text)  # all that is left
+    if not more.isEmpty():
+        roots = staged(joined_components(roots, more))
 
-    roots = components(links.unionByName(more))
     grouped = nodes.select("node", "doc_id", "key").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min(
@@ -308,7 +381,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     final = staged(grouped.select("node", "root").join(named, "root").select(
         "node", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")))
     alone = F.col("n") == 0
-    return rows.drop("prefix", "check").join(final, "node", "left").select(
+    return rows.drop("check").join(final, "node", "left").select(
         "key", "doc_id", F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("key")).otherwise(F.col("first_key")).alias("first_key"),

@@ -15,8 +15,10 @@ within its contents; their union is the whole.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framelark.llm.anchors import Bytes, packed, removed, repeated_spans, unpacked
+from framelark.llm.anchors import Bytes, removed, repeated_spans, row_hash
+from framelark.llm.common import packed, unpacked
 
 WINDOW = 100
 SHARD_BYTES = 1 << 20
@@ -169,7 +171,8 @@ def drop_repeats(
                 pa.array(ranges, pa.list_(pair)), pa.array(kept, pa.binary()),
             ], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return packed(docs, doc_id, text).drop("doc").join(spans, "key", "left").select(
+    ids = F.col(doc_id).alias("doc_id")
+    return packed(docs, text, row_hash(doc_id, text), ids).join(spans, "key", "left").select(
         "doc_id", "packed", "spans").mapInArrow(
         keep, f"doc_id {kind}, n_bytes long, n_removed long,"
         " spans array<struct<start: long, stop: long>>, kept binary")

@@ -32,7 +32,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         texts = texts.combine_chunks()
     if len(texts) == 0:
         return
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    wide = pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string()
+    texts = pc.fill_null(texts.cast(wide), b"" if pa.types.is_binary(texts.type) else "")
     _, bounds, data = texts.buffers()
     bounds = np.frombuffer(bounds, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -98,6 +98,8 @@ def test_components_equal_all_pairs(make_docs, texts):
 def test_frequent_shingles_change_nothing(make_docs, texts, monkeypatch):
     monkeypatch.setattr(join, "SAMPLED", 1)
     monkeypatch.setattr(join, "BLOCK", 3)
+    monkeypatch.setattr(join, "HEADS", 1)
+    monkeypatch.setattr(join, "LINEAR", 0)
     docs = list(enumerate(texts))
     assert answer(make_docs(docs)) == brute(docs)
 
@@ -125,3 +127,12 @@ def test_chain_of_links(spark):
         [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in join.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 95: 90, 90: 90}
+
+
+def test_components_joined_by_more_links(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(1, 2), (5, 6), (8, 9), (20, 21)]
+    more = [(2, 6), (40, 9), (50, 51), (0, 51)]
+    got = join.joined_components(join.components(frame(first)), frame(more))
+    want = join.components(frame(first + more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

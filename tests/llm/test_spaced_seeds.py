@@ -14,12 +14,20 @@ def tokens(text):
     return [t for t in re.split(r"[^\w]+", (text or "").lower().replace("_", " ")) if t]
 
 
+def runs(t):
+    return {tuple(t[i:i + 4]) for i in range(len(t) - 3)}
+
+
 def brute(docs, items, window=13, subs=2):
     out = {}
-    for (d, text), (b, item) in itertools.product(docs, items):
-        t, u = tokens(text), tokens(item)
+    docs = [(d, tokens(text)) for d, text in docs]
+    items = [(b, tokens(item)) for b, item in items]
+    own = {b: runs(u) for b, u in items}
+    for (d, t), (b, u) in itertools.product([(d, (t, runs(t))) for d, t in docs], items):
+        t, grams = t
         w = window if len(u) >= window else len(u)
-        if len(u) < seeds.LEAST_TOKENS:
+        # Two substitutions in 13 tokens leave four equal ones in a row.
+        if len(u) < seeds.LEAST_TOKENS or not grams & own[b]:
             continue
         for i in range(len(t) - w + 1):
             same = max((sum(x == y for x, y in zip(t[i:i + w], u[j:j + w]))
