@@ -200,37 +200,39 @@ def repeated_spans(
     contents = staged(found.groupBy("anchor", "c").agg(
         F.first("content").alias("content"),
         F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"),
-    ).select("anchor", "c", "content", "first.doc", "first.start", "n"))
+    ).select(
+        F.monotonically_increasing_id().alias("id"), "anchor", "c", "content",
+        "first.doc", "first.start", "n"))
 
     weight = F.sum(F.length("content"))
     weights = contents.groupBy("anchor").agg(weight.alias("bytes"), F.count(F.lit(1)).alias("n"))
     total = contents.agg(weight.alias("b")).first()["b"] or 0
-    hot = staged(weights.where(F.col("bytes") > shard_bytes // 2).select("anchor", "bytes"))
+    hot = staged(weights.where(F.col("bytes") > shard_bytes).select("anchor", "bytes"))
     shards = max(1, -(-total // shard_bytes))
     spread = max(1, -(-(hot.agg(F.sum("bytes").alias("b")).first()["b"] or 0) * unit.window // shard_bytes))
 
     def each_window(batches):
-        for batch in batches:
-            anchor, c, doc, start = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            out = [[] for _ in range(6)]
-            for i, raw in enumerate(batch.column(2).to_pylist()):
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
+            ids, doc, start = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            out = [[] for _ in range(5)]
+            for i, raw in enumerate(batch.column(1).to_pylist()):
                 whole = raw.split() if isinstance(unit, Words) else raw
                 for at in range(len(whole) - unit.window + 1):
                     part = whole[at:at + unit.window]
                     part = b" ".join(part) if isinstance(unit, Words) else part
-                    for to, v in zip(out, (anchor[i], c[i], part, doc[i], start[i] + at, at)):
+                    for to, v in zip(out, (ids[i], part, doc[i], start[i] + at, at)):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([
                 pa.array(v, t) for v, t in zip(out, (
-                    pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-            ], names=["anchor", "c", "content", "doc", "start", "at"])
+                    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
+            ], names=["id", "content", "doc", "start", "at"])
 
-    columns = ["anchor", "c", "content", "doc", "start"]
+    columns = ["id", "content", "doc", "start"]
     dealt = contents.join(hot, "anchor", "left_anti").select(
         *columns, F.lit(0).cast("long").alias("at"),
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"),
     ).unionByName(contents.join(hot.select("anchor"), "anchor").select(*columns).mapInArrow(
-        each_window, "anchor long, c long, content binary, doc long, start long, at long"
+        each_window, "id long, content binary, doc long, start long, at long"
     ).withColumn("shard", shards + F.pmod(F.xxhash64("content"), F.lit(spread))))
 
     def search(table):
@@ -238,28 +240,31 @@ def repeated_spans(
         number, offset, length = shard(table.column("content").to_pylist(), firsts, unit)
         take = pa.array(number)
         return pa.table({
-            "anchor": table.column("anchor").take(take), "c": table.column("c").take(take),
+            "id": table.column("id").take(take),
             "offset": pa.array(offset + table.column("at").to_numpy()[number]),
             "length": pa.array(length),
         })
 
     listed = staged(dealt.groupBy("shard").applyInArrow(
-        search, "anchor long, c long, offset long, length long"
-    ).groupBy("anchor", "c").agg(F.collect_list(F.struct("offset", "length")).alias("listed")))
-
-    places = found.select("anchor", "c", "key", "doc", "start", "size").join(contents.select(
-        "anchor", "c", F.col("doc").alias("d"), F.col("start").alias("s"), "n",
-    ), ["anchor", "c"])
+        search, "id long, offset long, length long"
+    ).groupBy("id").agg(F.collect_list(F.struct("offset", "length")).alias("listed")))
+
+    # Contents that cover anything; their places get the spans in one join.
+    marked = contents.select(
+        "id", "anchor", "c", F.col("doc").alias("d"), F.col("start").alias("s"), "n",
+    ).join(listed, "id", "left").where("n > 1 or listed is not null").drop("id", "n")
+    places = found.select("anchor", "c", "key", "doc", "start", "size").join(
+        marked, ["anchor", "c"])
     own = F.col("doc") == F.col("d")
     if same_document:
         own = own & (F.col("start") == F.col("s"))
-    whole = places.where("n > 1").where(~own).select(
-        "key", "start", (F.col("start") + F.col("size")).alias("stop"))
-    parts = places.where(own).join(listed, ["anchor", "c"]).select(
-        "key", "start", F.explode("listed").alias("p")).select(
+    nothing = F.array().cast("array<struct<offset: bigint, length: bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("offset"), F.col("size").alias("length")))
+    spans = places.select("key", "start", F.explode(
+        F.when(~own, whole).otherwise(F.coalesce("listed", nothing))).alias("p")).select(
         "key", (F.col("start") + F.col("p.offset")).alias("start"),
         (F.col("start") + F.col("p.offset") + F.col("p.length")).alias("stop"))
-    return staged(whole.unionByName(parts).groupBy("key").agg(
+    return staged(spans.groupBy("key").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 

@@ -21,7 +21,7 @@ from framelark.llm.anchors import Bytes, removed, repeated_spans, row_hash
 from framelark.llm.common import packed, unpacked
 
 WINDOW = 100
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 20
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> dict[int, np.ndarray]:
@@ -31,12 +31,12 @@ def suffix_ranks(text: np.ndarray, depth: int) -> dict[int, np.ndarray]:
     key = np.zeros(len(text), np.uint64)
     for j in range(7):
         key = key << np.uint64(9) | padded[j:j + len(text)]
-    rank = np.unique(key, return_inverse=True)[1]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
     step, ranks = 7, {7: rank}
     while step < depth:
-        right = np.zeros(len(rank), np.int64)
-        right[:max(0, len(rank) - step)] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + right, return_inverse=True)[1]
+        key = rank.astype(np.int64) * (len(rank) + 2)
+        key[:max(0, len(rank) - step)] += rank[step:] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
         step *= 2
         ranks[step] = rank
     return ranks
@@ -96,7 +96,7 @@ def repeat_groups(contents: list[bytes], window: int):
     """
     sizes = np.array([len(c) for c in contents])
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     text[begin + sizes] = 0
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
     left = (begin + sizes)[owner] - np.arange(len(text))  # bytes up to the content's end
