@@ -308,5 +308,5 @@ def dense_fit_step(spark, sf_dir):
 def mlpg(spark, sf_dir):
     """Trajectory of two static channels from a two-component mixture readout."""
     frames = si.vectors(spark, sf_dir).withColumn("feats", F.slice("feats", 1, 2 + 2 * 2 * 6))
-    rows = tj.mixture_trajectory(md.mixture_parameters(frames, 2, 6), 2, 2, n_steps=3)
+    rows = tj.mixture_trajectory(md.mixture_parameters(frames, 2, 6), 2, 2)
     return rows.select("utt", "frame_ix", *channels("y", 6))

@@ -1,3 +1,6 @@
+import inspect
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +8,9 @@ from pyspark.sql import functions as F
 from framelark.operators import frames as fr
 from framelark.operators import models as md
 from framelark.operators import trajectory as tj
+from framelark.plans import queries_models
 
+SMALL = os.environ.get("FRAMELARK_SMALL", "/root/testdata/sf0.001")
 RNG = np.random.default_rng(4)
 
 
@@ -98,3 +103,18 @@ def test_dynamic_blocks_follow_the_static_one(spark, collect):
     np.testing.assert_allclose(
         collect(path)["u"], collect(fr.dynamic_features(static, 1))["u"], atol=1e-12
     )
+
+
+def test_mlpg_query_runs_the_default_steps(spark, monkeypatch):
+    default = inspect.signature(tj.mixture_trajectory)
+    used = []
+
+    def noted(*args, **options):
+        call = default.bind(*args, **options)
+        call.apply_defaults()
+        used.append(call.arguments["n_steps"])
+        return args[0].select("utt", "frame_ix", F.array_repeat(F.lit(0.0), 6).alias("feats"))
+
+    monkeypatch.setattr(tj, "mixture_trajectory", noted)
+    queries_models.mlpg(spark, SMALL)
+    assert used == [default.parameters["n_steps"].default]
