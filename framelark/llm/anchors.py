@@ -10,15 +10,19 @@ meet when pieces are grouped by anchor. The steps:
    content: a content knows its first occurrence, and its further occurrences
    repeat it as a whole whatever its neighbours are.
 3. Distinct contents are dealt to shards of a bounded number of bytes by anchor.
-   An anchor with more content than a shard holds is dealt window by window.
    A shard reports the spans of a content that occur earlier in another one.
+   An anchor with more content than a shard holds goes window by window: equal
+   windows are one row with their first place before they are looked up, so a
+   window of any number of contents is never gathered in one task.
 4. Spans go back to the occurrences and are gathered per document.
 """
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,15 @@ from framelark.llm.text import BASE, covered, mix64, slices, word_hashes, word_s
 
 LAST = 2**63 - 1
 SLICE = 1 << 20
+#: Windows in more contents than this, of which there are at most
+#: ``COMMON_KEYS``, find their first place in a broadcast table.
+COMMON = 20_000
+COMMON_KEYS = 100_000
+#: Bytes that a shard indexes at once, unless one anchor has more.
+INDEXED = 1 << 20
+#: More than the units of any content.
+FAR = 1 << 32
+LISTED = "id long, listed array<struct<offset: bigint, length: bigint>>"
 
 
 class Words:
@@ -47,6 +60,28 @@ class Words:
         starts, ends = places
         return b" ".join(raw[starts[a]:ends[b - 1]].split())
 
+    def windows(self, contents):
+        """``(id, window, doc, start, at)`` of all windows of the contents."""
+        width = self.window
+
+        def each(batches):
+            for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
+                ids, doc, start = (batch.column(i).to_pylist() for i in (0, 2, 3))
+                out = [[] for _ in range(5)]
+                for i, raw in enumerate(batch.column(1).to_pylist()):
+                    words = raw.split()
+                    for at in range(len(words) - width + 1):
+                        part = b" ".join(words[at:at + width])
+                        for to, v in zip(out, (ids[i], part, doc[i], start[i] + at, at)):
+                            to.append(v)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(v, t) for v, t in zip(out, (
+                        pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
+                ], names=["id", "window", "doc", "start", "at"])
+
+        return contents.select("id", "content", "doc", "start").mapInArrow(
+            each, "id long, window binary, doc long, start long, at long")
+
 
 class Bytes:
     """Units are bytes; a gram is 24 of them."""
@@ -68,6 +103,13 @@ class Bytes:
     def content(self, raw, places, a, b):
         return raw[a:b]
 
+    def windows(self, contents):
+        """``(id, window, doc, start, at)`` of all windows of the contents."""
+        places = F.sequence(F.lit(0), F.length("content") - self.window)
+        return contents.select("id", "content", "doc", "start", F.explode(places).alias("at")).select(
+            "id", F.col("content").substr(F.col("at") + 1, F.lit(self.window)).alias("window"),
+            "doc", (F.col("start") + F.col("at")).alias("start"), F.col("at").cast("long").alias("at"))
+
 
 def sliding(best: Callable, values: np.ndarray, width: int) -> np.ndarray:
     """``best`` (minimum or maximum) over every ``width`` consecutive values."""
@@ -128,6 +170,53 @@ def doc_order(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
 
 
+def listed_spans(ids: pa.ChunkedArray, number, offset, length) -> pa.Table:
+    """``(id, listed)``: spans of each content, those that overlap or touch as one."""
+    begin = number.astype(np.int64) * FAR + offset
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    end = np.maximum.accumulate(begin + length[order]) if len(begin) else begin
+    head = np.flatnonzero(np.append(True, begin[1:] > end[:-1])[:len(begin)])
+    begin, end = begin[head], end[np.append(head[1:], len(begin))[:len(head)] - 1]
+    owner = begin // FAR
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[:len(owner)])
+    spans = pa.StructArray.from_arrays(
+        [pa.array(begin - owner * FAR), pa.array(end - begin)], ["offset", "length"])
+    return pa.table({
+        "id": ids.take(pa.array(owner[first])),
+        "listed": pa.ListArray.from_arrays(
+            pa.array(np.append(first, len(owner)).astype(np.int32)), spans)})
+
+
+def later_windows(contents: DataFrame, unit, same_document: bool) -> DataFrame:
+    """``(id, listed)``: spans of the windows of contents that occur earlier.
+
+    A window is known by two hashes. The first place of each is found with
+    partial aggregation and joined back: by broadcast for the few common
+    windows, so that none of them has its rows in one task.
+    """
+    place = F.col("doc")
+    if same_document:  # one number per place, in their order
+        place = place.cast("decimal(20,0)") * F.lit(Decimal(10**12)) + F.col("start")
+    both = ["h1", "h2"]
+    windows = unit.windows(contents).select(
+        "id", "at", F.xxhash64(F.lit(1), "window").alias("h1"),
+        F.xxhash64(F.lit(2), "window").alias("h2"), place.alias("place"))
+    firsts = staged(windows.groupBy(*both).agg(
+        F.min("place").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    total = firsts.agg(F.sum("m").alias("m")).first()["m"] or 0
+    many = F.col("m") > max(COMMON, total // COMMON_KEYS)
+    common = F.broadcast(firsts.where(many).drop("m"))
+    rest = windows.join(common, both, "left_anti").join(firsts.where(~many).drop("m"), both)
+    later = windows.join(common, both).unionByName(rest).where("place > first").groupBy("id").agg(
+        F.array_sort(F.collect_list("at")).alias("at"))
+    at, width = F.col("at"), F.lit(unit.window).cast("long")
+    heads = F.filter(at, lambda x, i: (i == 0) | (x > F.get(at, i - 1) + width))
+    tails = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) > x + width))
+    return later.select("id", F.zip_with(heads, tails, lambda a, b: F.struct(
+        a.alias("offset"), (b - a + width).alias("length"))).alias("listed"))
+
+
 def repeated_spans(
     docs: DataFrame, doc_id: str, text: str, unit, shard: Callable, same_document: bool,
     shard_bytes: int,
@@ -209,45 +298,31 @@ def repeated_spans(
     total = contents.agg(weight.alias("b")).first()["b"] or 0
     hot = staged(weights.where(F.col("bytes") > shard_bytes).select("anchor", "bytes"))
     shards = max(1, -(-total // shard_bytes))
-    spread = max(1, -(-(hot.agg(F.sum("bytes").alias("b")).first()["b"] or 0) * unit.window // shard_bytes))
-
-    def each_window(batches):
-        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
-            ids, doc, start = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            out = [[] for _ in range(5)]
-            for i, raw in enumerate(batch.column(1).to_pylist()):
-                whole = raw.split() if isinstance(unit, Words) else raw
-                for at in range(len(whole) - unit.window + 1):
-                    part = whole[at:at + unit.window]
-                    part = b" ".join(part) if isinstance(unit, Words) else part
-                    for to, v in zip(out, (ids[i], part, doc[i], start[i] + at, at)):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(v, t) for v, t in zip(out, (
-                    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-            ], names=["id", "content", "doc", "start", "at"])
-
-    columns = ["id", "content", "doc", "start"]
+
     dealt = contents.join(hot, "anchor", "left_anti").select(
-        *columns, F.lit(0).cast("long").alias("at"),
-        F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"),
-    ).unionByName(contents.join(hot.select("anchor"), "anchor").select(*columns).mapInArrow(
-        each_window, "id long, content binary, doc long, start long, at long"
-    ).withColumn("shard", shards + F.pmod(F.xxhash64("content"), F.lit(spread))))
+        "id", "anchor", "content", "doc", "start",
+        F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
 
     def search(table):
-        firsts = np.stack([table.column(n).to_numpy() for n in ("doc", "start")], axis=1)
-        number, offset, length = shard(table.column("content").to_pylist(), firsts, unit)
-        take = pa.array(number)
-        return pa.table({
-            "id": table.column("id").take(take),
-            "offset": pa.array(offset + table.column("at").to_numpy()[number]),
-            "length": pa.array(length),
-        })
-
-    listed = staged(dealt.groupBy("shard").applyInArrow(
-        search, "id long, offset long, length long"
-    ).groupBy("id").agg(F.collect_list(F.struct("offset", "length")).alias("listed")))
+        """Anchor by anchor, or some small ones at once: they share no window."""
+        table = table.sort_by("anchor")
+        anchor = table.column("anchor").to_numpy()
+        ends = np.cumsum(pc.binary_length(table.column("content")).to_numpy().astype(np.int64))
+        edges = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+        found, at = [], 0
+        while at < len(anchor):
+            done = ends[at - 1] if at else 0
+            fits = edges[(edges > at) & (ends[edges - 1] <= done + INDEXED)]
+            to = int(fits[-1]) if len(fits) else int(edges[np.searchsorted(edges, at, "right")])
+            part = table.slice(at, to - at)
+            firsts = np.stack([part.column(n).to_numpy() for n in ("doc", "start")], axis=1)
+            number, offset, length = shard(part.column("content").to_pylist(), firsts, unit)
+            found.append(listed_spans(part.column("id"), number, offset, length))
+            at = to
+        return pa.concat_tables(found)
+
+    listed = staged(dealt.groupBy("shard").applyInArrow(search, LISTED).unionByName(later_windows(
+        contents.join(hot.select("anchor"), "anchor"), unit, same_document)))
 
     # Contents that cover anything; their places get the spans in one join.
     marked = contents.select(

@@ -164,3 +164,23 @@ def test_pieces_hold_every_window_once():
         got = [(d, i) for d, a, b in zip(doc, begin, stop) for i in range(a, b)]
         _, first, _ = unit.units(data, bounds)
         assert got == [(d, i) for d in range(6) for i in range(first[d], first[d + 1] - unit.window + 1)]
+
+
+@pytest.mark.parametrize("module, name, of, brute", [
+    (fm_index, "earlier_windows", words_of, brute_words),
+    (repeat_intervals, "earlier_repeats", bytes_of, brute_bytes),
+])
+@pytest.mark.parametrize("common", [20_000, 50])
+def test_no_shard_holds_all_borders_of_a_passage(make_docs, monkeypatch, module, name, of, brute, common):
+    """One passage in every document, between words of each document's own."""
+    passage = " ".join(f"word{i}" for i in range(40))
+    docs = [(d, f"a{d} b{d} c{d} d{d} {passage} e{d} f{d} g{d} h{d}") for d in range(400)]
+    search, most = getattr(module, name), 20_000
+
+    def bounded(contents, firsts, unit):
+        assert sum(map(len, contents)) <= most
+        return search(contents, firsts, unit)
+
+    monkeypatch.setattr(module, name, bounded)
+    monkeypatch.setattr(anchors, "COMMON", common)
+    assert of(make_docs(docs), shard_bytes=most // 8) == brute(docs)
