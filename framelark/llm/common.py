@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder, read it back.
 
     Lineage ends at the files, so a lost executor costs only what it ran. The
@@ -26,7 +26,7 @@ def staged(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext
     root = f"{context.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(root)
+    df.write.options(compression="zstd", **options).parquet(root)
     path = context._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     gc.collect()

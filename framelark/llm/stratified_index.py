@@ -35,7 +35,9 @@ TABLE = bytes(
 #: b and k1 of the score, in hundredths and thousandths.
 SLOPE, SATURATION, SCALE = 25, 1200, 10**9
 
-BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 10_000
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 10_000
+#: Readers decode thousands of rows of a file at once, so files hold few blocks.
+FILE_BLOCKS = 6
 QUERY_BYTES, QUERY_ROWS = 1 << 20, 500
 TOUCHES = 1 << 20
 
@@ -140,7 +142,8 @@ def build_index(
         if block.ids:
             yield block.row(n_docs, n_terms)
 
-    return LexicalIndex(staged(rows.mapInArrow(build, BLOCK)), n_docs, n_terms)
+    blocks = staged(rows.mapInArrow(build, BLOCK), maxRecordsPerFile=FILE_BLOCKS)
+    return LexicalIndex(blocks, n_docs, n_terms)
 
 
 class Queries(NamedTuple):
