@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from framelark.llm.common import staged
 
 #: Terms: ASCII letters (A-Z lower-cased) and digits, and all beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 TABLE = bytes(
     c if c in _KEPT else (c + 32 if 65 <= c <= 90 else 32) for c in range(256)
@@ -125,7 +124,13 @@ def build_index(
 ) -> LexicalIndex:
     """The index of all rows with at least one term, as files below the shared folder."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    counted = rows.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(terms_of(t)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"n": pa.array(sizes, pa.int64())})
+
+    counted = rows.select("text").mapInArrow(count, "n long").where("n > 0")
     n_docs, n_terms = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
