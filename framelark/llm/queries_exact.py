@@ -1,9 +1,12 @@
 """Queries of exact dedup, lexical search and embedding whitening."""
 
+from pyspark.sql import functions as F
+
 from framelark.llm.common import read
 from framelark.llm.extendible_index import exact_duplicates
 from framelark.llm.registry import query
 from framelark.llm.stratified_index import ranked_search
+from framelark.llm.whitening import whiten
 
 EXACT_SQL = r"""
 WITH d AS (
@@ -56,3 +59,14 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank
 @query("op12_stratified_search", SEARCH_SQL)
 def stratified_search(spark, sf_dir):
     return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    pair = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "pair")
+    return whiten(read(spark, sf_dir, "embeddings")).select(
+        "vec_id", "n", "deviation", "identity_error", pair,
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("pair.whitened").alias("whitened"), F.col("pair.explained").alias("explained"),
+        "identity_error")
