@@ -1,6 +1,7 @@
 """Session settings and the checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the checkpoint folder; what lies there goes with the session."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    root = f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root

@@ -229,6 +229,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnRenamed("#file", "utt").withColumnRenamed("#phone", "phone")
 
 
+def read_item_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Items over several files, of which only the first has the header row."""
+    rows = spark.read.csv(
+        path, sep=" ", schema="utt string, onset double, offset double, phone string, "
+        "context string, speaker string")
+    return rows.where(F.col("utt") != "#file")
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("errorifexists").option("header", True).csv(path)
 
