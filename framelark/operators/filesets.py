@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import natural_key
+from framelark.operators.exchange import even_out
 from framelark.operators.frames import number_rows, salted_join
 from framelark.session import cut_lineage
 
@@ -200,8 +201,8 @@ def split_corpus(
 
     Utterances are dealt out by a seeded draw in the asked proportions. While a
     set lacks a triphone, an utterance that has it is moved there, if possible
-    one no set depends on. Last, utterances no set depends on even out the
-    sizes. Every step is a few joins and aggregations over the whole index.
+    one no set depends on. Last, utterances that no set depends on, and
+    exchanges that free more of them, even out the sizes. Every step is a few joins and aggregations over the whole index.
     """
     if not 0 < pct_train < 1:
         raise ValueError(f"pct_train must lie between 0 and 1, not {pct_train}")
@@ -215,6 +216,8 @@ def split_corpus(
     )
     base = cut_lineage(_numbered(cut_lineage(base), []))
     sizes = target_sizes(base.count(), pct_train)
+    if min(sizes.values()) == 0 and not kept.isEmpty():
+        raise RuntimeError(f"an empty set covers no triphone: {sizes}")
     n_train, n_fit = sizes["train"], sizes["train"] + sizes["validation"]
     sets = base.withColumn(
         "set_name",
@@ -225,44 +228,12 @@ def split_corpus(
     for turn in range(max_rounds):
         holders = _holders(kept, sets)
         if holders.select(_lacking()).limit(1).count() == 0:
-            return _even_out(sets, holders, sizes).select("utt", "set_name")
+            sets = even_out(kept, sets, sizes, PLACES // 4096, 3 * max_rounds)
+            return sets.select("utt", "set_name")
         sets = _repair(kept, sets, holders, turn)
     raise RuntimeError(f"no covering split within {max_rounds} rounds; raise the limit")
 
 
-def _even_out(sets: DataFrame, holders: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Move free utterances from sets that are too large to those too small."""
-    present = {r["set_name"]: r["n"] for r in
-               sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    excess = {s: present.get(s, 0) - sizes[s] for s in SETS}
-    if not any(excess.values()):
-        return sets
-    free = sets.join(_bound(holders), "utt", "left_anti")
-    ranked = _numbered(free, ["set_name"])
-    leaving = F.coalesce(
-        *[F.when((F.col("set_name") == s) & (F.col("rank") < max(excess[s], 0)), True)
-          for s in SETS], F.lit(False)
-    )
-    pool = cut_lineage(_numbered(ranked.where(leaving).drop("rank"), []))
-    n_needed = sum(max(e, 0) for e in excess.values())
-    n_pool = pool.count()
-    if n_pool < n_needed:
-        raise RuntimeError(
-            f"only {n_pool} of {n_needed} utterances can move without uncovering a "
-            "triphone; raise the limit"
-        )
-    # The pool is dealt to the sets that lack utterances, in the order of its ranks.
-    target, start = None, 0
-    for s in SETS:
-        room = max(-excess[s], 0)
-        here = (F.col("rank") >= start) & (F.col("rank") < start + room)
-        target = F.when(here, s) if target is None else target.when(here, s)
-        start += room
-    moves = pool.select("utt", target.alias("_to"))
-    moved = sets.join(moves, "utt", "left")
-    return moved.withColumn("set_name", F.coalesce("_to", "set_name")).drop("_to")
-
-
 def same_speaker_rank(utterances: DataFrame) -> DataFrame:
     """Rank of each ``(speaker, utt)`` in its speaker's list, from 0."""
     return number_rows(

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelark.operators import filesets as fs
+from framelark.operators.exchange import covers, even_out, exchanges, leavers
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,39 @@ def test_seeded_draws_ignore_partitioning(spark):
     a = [r["utt"] for r in fs.mini_batch(rows.repartition(7), 5, 1).collect()]
     b = [r["utt"] for r in fs.mini_batch(rows.coalesce(1), 5, 1).collect()]
     assert a == b and len(a) == 5
+
+
+def tight(seed):
+    """Groups of equal utterances, which bind small sets, and richer ones that tempt."""
+    rng = np.random.default_rng(seed)
+    rows = [(u, f"t{4 * (u % 12) + i}") for u in range(200) for i in range(4)]
+    return rows + [
+        (u, f"t{t}") for u in range(200, 230) for t in rng.choice(48, 6, replace=False)]
+
+
+def test_small_sets_that_need_exchanges(spark, seed=4):
+    index = spark.createDataFrame(tight(seed), "utt int, triphone string")
+    utts = spark.range(230).select(F.col("id").cast("int").alias("utt"))
+    sets = fs.split_corpus(index, utts, 0.82, limit=9, seed=seed)
+    names = {r["utt"]: r["set_name"] for r in sets.collect()}
+    assert {s: list(names.values()).count(s) for s in fs.SETS} == fs.target_sizes(230, 0.82)
+    assert fs.uncovered(fs.with_set(fs.kept_index(index, 9), sets)).count() == 0
+
+
+def test_exchange_by_hand(spark):
+    """1 and 2 are bound to test; 3 has all that binds them and is bound at home
+    by what 2 brings; 4 frees 1 alone."""
+    rows = {1: "ab", 2: "cd", 3: "abcd", 4: "ab", 5: "ab", 6: "c", 7: "abcd"}
+    home = {1: "test", 2: "test", 3: "train", 4: "train", 5: "train", 6: "train", 7: "validation"}
+    kept = spark.createDataFrame([(u, t) for u, ts in rows.items() for t in ts], "utt int, triphone string")
+    sets = spark.createDataFrame(
+        [(u, len(rows[u]), u * 10, s) for u, s in home.items()],
+        "utt int, n_tri int, draw long, set_name string")
+    free = leavers(kept, sets, F.lit(True))
+    assert {r["utt"] for r in free.collect()} == {4, 5, 6}
+    got = {tuple(r) for r in exchanges(kept, sets, "test", [7]).collect()}
+    assert got == {(3, "train", 1), (3, "train", 2)}
+    done = even_out(kept, sets, {"train": 5, "validation": 1, "test": 1}, 1, 20)
+    names = {r["utt"]: r["set_name"] for r in done.collect()}
+    assert sorted(names.values()) == ["test"] + ["train"] * 5 + ["validation"]
+    assert covers(kept, done, list(fs.SETS))
