@@ -55,18 +55,28 @@ def rolled_up(file_moments: DataFrame, scope: str) -> DataFrame:
     )
 
 
+#: Bits of ``grouping_id`` over (speaker, utt, channel): a rolled-up column is 1.
+GROUPINGS = {"corpus": 0b110, "speaker": 0b010, "file": 0b000}
+
+
 def all_scopes(frames: DataFrame) -> DataFrame:
-    """File, speaker and corpus moments in one table, frames read once."""
-    files = moments(frames, "file")
-    columns = ["scope", "speaker", "utt", "channel", "n", "mean", "std", "spread"]
-    parts = []
-    for scope in SCOPE_KEYS:
-        part = files if scope == "file" else rolled_up(files, scope)
-        for key in ("speaker", "utt"):
-            if key not in SCOPE_KEYS[scope]:
-                part = part.withColumn(key, F.lit(None).cast(files.schema[key].dataType))
-        parts.append(part.withColumn("scope", F.lit(scope)).select(*columns))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """File, speaker and corpus moments in one table, in one aggregation.
+
+    The grouping sets share one scan; each merges its (n, mean, sum of squared
+    deviations) states before and after the shuffle, so nothing is joined back.
+    ``grouping_id`` tells a speaker that is NULL from a rolled-up one.
+    """
+    sets = [[*keys, "channel"] for keys in SCOPE_KEYS.values()]
+    rows = long_form(frames, "speaker", "utt").groupingSets(sets, "speaker", "utt", "channel").agg(
+        F.grouping_id().alias("_g"),
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        (F.max("value") - F.min("value")).alias("spread"),
+    )
+    scope = F.coalesce(*[F.when(F.col("_g") == g, name) for name, g in GROUPINGS.items()])
+    return rows.select(
+        scope.alias("scope"), "speaker", "utt", "channel", "n", "mean", "std", "spread")
 
 
 def scope_keys(scope: str) -> list[str]:
