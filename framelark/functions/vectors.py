@@ -4,7 +4,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNROLL_LIMIT = 16
@@ -14,21 +14,26 @@ def vector(fn: Callable[..., Column], *arrays: Column, width: int) -> Column:
     """Apply ``fn(a_i, b_i, ...)`` to every position of same-width arrays.
 
     Narrow vectors are written out position by position, which keeps the
-    arithmetic in generated code; wide ones use one ``transform``. An array of
-    another width fails the job; a NULL one reads as NULL everywhere.
+    arithmetic in generated code; wide ones use one ``transform``. A NULL array
+    reads as NULL everywhere. Widths are checked once, where vectors enter an
+    operator (``of_width``): a condition around the result would keep what
+    follows from reading its positions without the array.
     """
     if width <= UNROLL_LIMIT:
-        out = F.array(
+        return F.array(
             *[fn(*[F.get(a, F.lit(i)) for a in arrays]) for i in range(width)]
         )
-    else:
-        out = F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda i: fn(*[F.get(a, i) for a in arrays]),
-        )
-    fits = [a.isNull() | (F.size(a) == width) for a in arrays]
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: fn(*[F.get(a, i) for a in arrays]),
+    )
+
+
+def of_width(rows: DataFrame, width: int, *columns: str) -> DataFrame:
+    """All rows; a vector that is not NULL and has another width fails the job."""
+    fits = [F.col(c).isNull() | (F.size(c) == width) for c in columns or ("feats",)]
     message = F.lit(f"a vector has another width than {width}")
-    return F.when(reduce(and_, fits), out).otherwise(F.raise_error(message))
+    return rows.where(F.when(reduce(and_, fits), True).otherwise(F.raise_error(message)))
 
 
 def zeros(width: int) -> Column:

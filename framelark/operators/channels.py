@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelark.functions.vectors import interlaced, pick, vector
+from framelark.functions.vectors import interlaced, of_width, pick, vector
 
 
 def channel_indices(names: Sequence[str], wanted: Sequence[str]) -> list[int]:
@@ -33,7 +33,7 @@ def keep_channels(frames: DataFrame, indices: Sequence[int] | None) -> DataFrame
 
 
 def scale(frames: DataFrame, factor: float, width: int) -> DataFrame:
-    return frames.withColumn(
+    return of_width(frames, width).withColumn(
         "feats", vector(lambda x: x * factor, F.col("feats"), width=width)
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelark.functions.vectors import vector, zeros
+from framelark.functions.vectors import of_width, vector, zeros
 from framelark.session import cut_lineage
 
 SEGMENT = 65_536
@@ -176,7 +176,7 @@ def simple_difference(
     frames: DataFrame, lag: int, width: int, segment: int | None = None
 ) -> DataFrame:
     """``feats`` becomes x[t+lag] - x[t-lag], indices clamped to the series."""
-    rows = segmented(frames, lag, segment=segment)
+    rows = segmented(of_width(frames, width), lag, segment=segment)
     rows = rows.withColumns(_neighbours("feats", [lag], ["utt"], "frame_ix"))
     diff = vector(
         lambda nxt, past: nxt - past,
@@ -212,7 +212,7 @@ def delta(
     frames: DataFrame, width: int, window: int = 5, segment: int | None = None
 ) -> DataFrame:
     """``feats`` becomes its regression slope over +-``window`` frames."""
-    rows = segmented(frames, window, segment=segment)
+    rows = segmented(of_width(frames, width), window, segment=segment)
     rows = _add_delta(rows, "feats", "feats", window, width)
     return core_only(rows, segment=segment)
 
@@ -225,7 +225,7 @@ def dynamic_features(
     Both steps share one shuffle: the margin is twice the window, so that the
     first slope is right for every frame the second one looks at.
     """
-    rows = segmented(frames, 2 * window, segment=segment)
+    rows = segmented(of_width(frames, width), 2 * window, segment=segment)
     rows = _add_delta(rows, "feats", "_delta", window, width)
     rows = _add_delta(rows, "_delta", "_delta2", window, width)
     rows = rows.withColumn("feats", F.concat("feats", "_delta", "_delta2"))
@@ -283,7 +283,7 @@ def lowpass_fir(
         raise ValueError("one cutoff per channel is needed")
     taps = [fir_taps(c, sampling_rate, window) for c in cutoffs]
     w = segment_window()
-    rows = segmented(frames, window, segment=segment)
+    rows = segmented(of_width(frames, width), window, segment=segment)
     named = {
         f"_f{i}": F.coalesce(F.lag("feats", window - i).over(w), zeros(width))
         for i in range(2 * window + 1)

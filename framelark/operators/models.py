@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from framelark.functions.scalars import gaussian_density
-from framelark.functions.vectors import softmax, vector
+from framelark.functions.vectors import of_width, softmax, vector
 from framelark.operators.channels import keep_channels
 from framelark.operators.frames import context_windows, dynamic_features, lowpass_fir
 from framelark.operators.moments import denormalize
@@ -243,6 +243,7 @@ def mixture_density(
     """Add ``density``: the mixture's density at the target vector."""
     point = F.col(targets)
     if norms is not None:
+        rows = of_width(rows, n_targets, targets)
         point = vector(
             lambda x, s: x / s, point, F.lit([float(s) for s in norms]), width=n_targets
         )

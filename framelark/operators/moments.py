@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import scaled
-from framelark.functions.vectors import vector
+from framelark.functions.vectors import of_width, vector
 from framelark.operators.frames import long_form, null_safe_join, salted_join
 
 SCOPE_KEYS = {"corpus": [], "speaker": ["speaker"], "file": ["speaker", "utt"]}
@@ -115,6 +115,7 @@ def with_moments(
 
 
 def _rescaled(frames: DataFrame, fn, width: int) -> DataFrame:
+    frames = of_width(frames, width, "feats", "_means", "_divs")
     feats = vector(fn, F.col("feats"), F.col("_means"), F.col("_divs"), width=width)
     return frames.withColumn("feats", feats).drop("_means", "_divs")
 
@@ -141,9 +142,10 @@ def demean(
 
 def denormalize(frames: DataFrame, norms: Column, width: int) -> DataFrame:
     """Multiply every channel by its norm."""
-    return frames.withColumn(
-        "feats", vector(lambda x, k: x * k, F.col("feats"), norms, width=width)
-    )
+    rows = of_width(frames.withColumn("_norms", norms), width, "feats", "_norms")
+    return rows.withColumn(
+        "feats", vector(lambda x, k: x * k, F.col("feats"), F.col("_norms"), width=width)
+    ).drop("_norms")
 
 
 def norm_name(norm_type: str, scope: str) -> str:
