@@ -43,9 +43,9 @@ def running_total(
     own partitioning serves.
     """
     if not null_keys:
-        df = df.withColumns({
-            k: F.coalesce(F.col(k), F.raise_error(F.lit(f"{k} is NULL"))) for k in keys
-        })
+        for k in keys:
+            known = F.when(F.col(k).isNotNull(), True)
+            df = df.where(known.otherwise(F.raise_error(F.lit(f"{k} is NULL"))))
     if bucket is None:
         spread = df.repartitionByRange(*keys, *order)
         tagged = cut_lineage(spread.withColumn("_bucket", F.spark_partition_id()))
