@@ -1,6 +1,6 @@
 """Modular loading of acoustic inputs and articulator targets."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,30 +58,39 @@ def normalized(frames: DataFrame, norm: str, width: int,
     return normalize(frames, kind, scope, width, moments)
 
 
+#: Keeps the frames of some utterances.
+Pick = Callable[[DataFrame], DataFrame] | None
+
+
 def load_acoustic(
     kinds: dict[str, DataFrame], widths: dict[str, int], setup: LoadingSetup,
-    moments: DataFrame | None = None,
+    moments: DataFrame | None = None, picked: Pick = None,
 ) -> DataFrame:
-    """Acoustic frames of ``setup.audio_type``, in context windows."""
+    """Acoustic frames of ``setup.audio_type``, in context windows.
+
+    ``picked`` keeps some utterances, once moments of all are applied and
+    before windows multiply what a frame holds.
+    """
     kind, norm = parse_feature_name(setup.audio_type)
     if kind not in kinds:
         raise KeyError(f"no features of kind {kind!r}; there are {sorted(kinds)}")
     rows = normalized(kinds[kind], norm, widths[kind], moments)
     return context_windows(
-        rows, widths[kind], setup.context_window, setup.zero_padding
+        picked(rows) if picked else rows, widths[kind], setup.context_window, setup.zero_padding
     )
 
 
 def load_ema(
     ema: DataFrame, names: Sequence[str], setup: LoadingSetup,
-    voicing: DataFrame | None = None, moments: DataFrame | None = None,
+    voicing: DataFrame | None = None, moments: DataFrame | None = None, picked: Pick = None,
 ) -> DataFrame:
     """Articulator frames: normalised, chosen by name, with dynamics and voicing.
 
     A list of articulators brings voicing only when it names it; without a list
-    voicing always comes along.
+    voicing always comes along. ``picked`` as in ``load_acoustic``.
     """
     rows = normalized(ema, setup.ema_norm, len(names), moments)
+    rows = picked(rows) if picked else rows
     chosen, with_voicing = list(names), True
     if isinstance(setup.articulators, (list, tuple)):
         wanted = list(setup.articulators)
@@ -108,15 +117,18 @@ def load_dataset(
     Moments are those of the whole corpus, so they are taken before the
     fileset's utterances are picked.
     """
-    acoustic = load_acoustic(kinds, widths, setup, acoustic_moments)
-    ema = load_ema(kinds["ema"], names, setup, voicing, ema_moments)
-    if setup.context_window and not setup.zero_padding:
-        ema = crop_edges(ema, setup.context_window)
+    picked = None
     if set_name is not None:
         if filesets is None:
             raise ValueError("a set was named but no filesets are given")
-        acoustic = in_fileset(acoustic, filesets, set_name)
-        ema = in_fileset(ema, filesets, set_name)
+
+        def picked(rows: DataFrame) -> DataFrame:
+            return in_fileset(rows, filesets, set_name)
+
+    acoustic = load_acoustic(kinds, widths, setup, acoustic_moments, picked)
+    ema = load_ema(kinds["ema"], names, setup, voicing, ema_moments, picked)
+    if setup.context_window and not setup.zero_padding:
+        ema = crop_edges(ema, setup.context_window)
     left = acoustic.select("utt", "frame_ix", F.col("feats").alias("acoustic"))
     right = ema.select("utt", "frame_ix", F.col("feats").alias("ema"))
     return left.join(right, ["utt", "frame_ix"])
