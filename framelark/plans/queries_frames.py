@@ -154,9 +154,10 @@ def pack_batch(spark, sf_dir):
 
 
 @query("masked_mean", with_views("fx_frames") + """
-SELECT utt, round(avg(c0), 6) + 0.0 AS mean FROM fx_frames WHERE frame_ix < 60 GROUP BY utt""")
+SELECT utt, round(avg(c0), 6) + 0.0 AS mean FROM fx_frames GROUP BY utt""")
 def masked_mean(spark, sf_dir):
-    batch = fr.sequence_mask(fr.padded_batch(si.frames(spark, sf_dir), width=2, length=60))
+    """Means of all frames, out of a batch padded to the longest utterance."""
+    batch = fr.sequence_mask(fr.padded_batch(si.frames(spark, sf_dir), width=2))
     x = F.get("feats", F.lit(0)) * F.col("mask")
     return batch.groupBy("utt").agg(r6(F.sum(x) / F.sum("mask")).alias("mean"))
 
