@@ -10,7 +10,7 @@ from framelark.functions import kernels
 from framelark.operators import signals as sg
 from framelark.plans import stand_ins as si
 from framelark.plans.registry import channels, query, r6
-from framelark.plans.stand_ins import with_views
+from framelark.plans.stand_ins import TRACKS, with_views
 
 L, H = 16, 8
 
@@ -258,3 +258,20 @@ def resample_fft(spark, sf_dir):
     """From 250 to 100 frames per second."""
     rows = sg.resample(si.frames(spark, sf_dir), 250, 100, width=2)
     return rows.select("utt", "frame_ix", *channels("f", 1))
+
+
+@query("resample_long_tracks", TRACKS + """,
+ln AS (SELECT utt, count(*) AS n, CAST(floor(count(*) * 0.4::DOUBLE) AS BIGINT) AS m FROM tracks GROUP BY utt),
+bins AS (SELECT utt, n, m, unnest(generate_series(0, m // 2)) AS k FROM ln),
+spec AS (SELECT b.utt, b.n, b.m, b.k, sum(c0 * cos(2 * pi() * ((k * frame_ix) % b.n) / b.n)) AS re,
+                -sum(c0 * sin(2 * pi() * ((k * frame_ix) % b.n) / b.n)) AS im
+         FROM bins b JOIN tracks f ON f.utt = b.utt GROUP BY b.utt, b.n, b.m, b.k),
+outs AS (SELECT utt, unnest(generate_series(0, m - 1)) AS t FROM ln)
+SELECT o.utt, CAST(t AS INT) AS frame_ix,
+  round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * t) % m) / m)
+    - CASE WHEN 2 * k = m THEN 0 ELSE im END * sin(2 * pi() * ((k * t) % m) / m)) / n), 6) + 0.0 AS f0
+FROM outs o JOIN spec s ON s.utt = o.utt GROUP BY o.utt, t""")
+def resample_long_tracks(spark, sf_dir):
+    """Tracks of several lengths, all too long for a task at this limit."""
+    rows = sg.resample(si.tracks(spark, sf_dir), 250, 100, width=2, whole_limit=100)
+    return rows.select("utt", "frame_ix", *channels("f", 1))

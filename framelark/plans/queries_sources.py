@@ -1,6 +1,5 @@
 """Queries: recordings and archives written from the tables and read back."""
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.operators import phones as ph
@@ -8,7 +7,7 @@ from framelark.operators.frames import number_rows, running_total
 from framelark.plans import stand_ins as si
 from framelark.plans.queries_corpus import _ITEMS, _round3
 from framelark.plans.registry import channels, query, r6
-from framelark.plans.stand_ins import with_views
+from framelark.plans.stand_ins import TRACKS, with_views
 from framelark.session import scratch_path
 from framelark.sources import archives, text
 from framelark.sources.ranges import read_ranges
@@ -16,40 +15,24 @@ from framelark.sources.ranges import read_ranges
 #: Far smaller than the default, so that the tracks of a small table are cut too.
 RANGE_BYTES = 5_000
 
-_TRACKS = """WITH tracks AS (
-  SELECT user_id % 8 AS utt, value AS c0, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS c1,
-    CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS INT) AS frame_ix
-  FROM events)
-"""
-
-
-def _tracks(spark, sf_dir) -> DataFrame:
-    """Eight long tracks of two channels."""
-    events = si.table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("utt"), "ts", "event_id",
-        F.array("value", F.regexp_extract("props", "([0-9]+)", 1).cast("double")).alias("feats"))
-    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
-    return number_rows(events, ["utt"], ["ts", "event_id"], hour).select("utt", "frame_ix", "feats")
-
-
-@query("est_source", _TRACKS + """
+@query("est_source", TRACKS + """
 SELECT utt, frame_ix, round(CAST(CAST(frame_ix / 100.0::DOUBLE AS FLOAT) AS DOUBLE), 6) + 0.0 AS time,
   round(CAST(CAST(c0 AS FLOAT) AS DOUBLE), 6) + 0.0 AS c0, round(CAST(CAST(c1 AS FLOAT) AS DOUBLE), 6) + 0.0 AS c1
 FROM tracks""")
 def est_source(spark, sf_dir):
     path = scratch_path(spark, "tracks")
-    archives.write_tracks(_tracks(spark, sf_dir), path, ["c0", "c1"], si.SAMPLING_RATE)
+    archives.write_tracks(si.tracks(spark, sf_dir), path, ["c0", "c1"], si.SAMPLING_RATE)
     rows = read_ranges(spark, path, "est", range_bytes=RANGE_BYTES)
     return rows.select(
         F.col("utt").cast("long").alias("utt"), "frame_ix", r6("time").alias("time"), *channels("c", 2))
 
 
-@query("est_channels_pruned", _TRACKS + """
+@query("est_channels_pruned", TRACKS + """
 SELECT utt, frame_ix, round(CAST(CAST(c1 AS FLOAT) AS DOUBLE), 6) + 0.0 AS c0 FROM tracks WHERE utt IN (2, 5)""")
 def est_channels_pruned(spark, sf_dir):
     """One channel, no time: of two of the files, once filters reach the source."""
     path = scratch_path(spark, "tracks")
-    archives.write_tracks(_tracks(spark, sf_dir), path, ["c0", "c1"], si.SAMPLING_RATE)
+    archives.write_tracks(si.tracks(spark, sf_dir), path, ["c0", "c1"], si.SAMPLING_RATE)
     rows = read_ranges(
         spark, path, "est", ["utt", "frame_ix", "feats"], channels="c1", range_bytes=RANGE_BYTES)
     return rows.where(F.col("utt").isin("2", "5")).select(

@@ -58,6 +58,13 @@ CTE = {
   WHERE c IS NOT NULL)""",
 }
 
+#: Eight long tracks out of all events.
+TRACKS = """WITH tracks AS (
+  SELECT user_id % 8 AS utt, value AS c0, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS c1,
+    CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS INT) AS frame_ix
+  FROM events)
+"""
+
 
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in names) + "\n"
@@ -139,3 +146,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "utt", "speaker", "frame_ix", "event_type",
         target.alias("t"), (target + 10 * F.sin(F.col("event_id").cast("double"))).alias("p"),
     )
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight long tracks of two channels."""
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 8).alias("utt"), "ts", "event_id",
+        F.array("value", F.regexp_extract("props", "([0-9]+)", 1).cast("double")).alias("feats"))
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
+    return number_rows(events, ["utt"], ["ts", "event_id"], hour).select("utt", "frame_ix", "feats")

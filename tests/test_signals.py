@@ -119,6 +119,20 @@ def test_long_resampling_equals_whole(make_frames, collect, n, ratio):
     np.testing.assert_allclose(got["v"], kernels.fft_resample(x[:5], int(5 * ratio)), atol=1e-12)
 
 
+def test_long_series_of_many_lengths_share_a_plan(make_frames, collect):
+    series = {f"u{n}": RNG.normal(size=(n, 1)) for n in (11, 31, 40, 41, 64, 65)}
+    out = sg.resample(make_frames(series), 100, 60, 1, whole_limit=10)
+    got = collect(out)
+    for utt, x in series.items():
+        np.testing.assert_allclose(got[utt], kernels.fft_resample(x, int(len(x) * 0.6)), atol=1e-12)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    two = sg.resample(make_frames({u: series[u] for u in ("u40", "u41")}), 100, 60, 1, whole_limit=10)
+    assert exchanges(out) == exchanges(two)
+
+
 def test_resampling_a_periodic_sine_is_exact(make_frames, collect):
     t = np.arange(500) / 500
     got = collect(sg.resample(make_frames({"u": np.sin(2 * np.pi * 7 * t)[:, None]}), 500, 100, 1))
