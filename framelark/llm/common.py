@@ -48,6 +48,16 @@ def quoted(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named c0, c1, .. and where each name went.
+
+    Whatever its columns are called, an operator's own names do not meet them;
+    ``toDF(*df.columns)`` gives the names back.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def word_array(text: Column) -> Column:
     """Words of a text: runs of what is not ASCII white space; none of null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelark.llm.common import packed, staged, unpacked
+from framelark.llm.common import numbered, packed, staged, unpacked
 from framelark.llm.text import mix64, slices, windows, word_hashes, word_spans
 
 LENGTH = 5
@@ -390,7 +390,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component; of equal rows one stays."""
-    stay = near_duplicates(docs, doc_id, text).where("key = first_key").select(
+    rows, at = numbered(docs)
+    stay = near_duplicates(rows, at[doc_id], at[text]).where("key = first_key").select(
         F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_digest(doc_id, text)).join(
-        staged(stay), "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    return rows.withColumn("_key", row_digest(at[doc_id], at[text])).join(
+        staged(stay), "_key").dropDuplicates(["_key"]).select(*at.values()).toDF(*docs.columns)

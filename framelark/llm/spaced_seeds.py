@@ -15,7 +15,7 @@ counted, bounded size, one pass over the documents for each part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelark.llm.common import staged
+from framelark.llm.common import numbered, staged
 
 #: Lossless for 13 tokens with up to 2 substitutions (fixed values).
 MASKS = ("11101011", "110100111")
@@ -131,8 +131,9 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item."""
-    marked = staged(contaminated(
-        docs, benchmark, row_key(doc_id, text), text, **options
-    ).select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", row_key(doc_id, text)).join(
-        marked, "_key", "left_anti").select(*docs.columns)
+    rows, at = numbered(docs)
+    key = row_key(at[doc_id], at[text])
+    marked = staged(contaminated(rows, benchmark, key, at[text], **options).select(
+        F.col("key").alias("_key")).distinct())
+    return rows.withColumn("_key", key).join(marked, "_key", "left_anti").select(
+        *at.values()).toDF(*docs.columns)
