@@ -9,7 +9,7 @@ comes out as often as the mix takes it, and the last adds ``shard`` and ``slot``
 
 from pyspark.sql import functions as F
 
-from framelark.llm.common import quoted, read, staged
+from framelark.llm.common import read, staged
 from framelark.llm.external_shuffle import external_shuffle
 from framelark.llm.overlap_join import one_of_each
 from framelark.llm.site_quality import judge_documents
@@ -17,10 +17,20 @@ from framelark.llm.source_mixing import mix
 from framelark.llm.spaced_seeds import decontaminate
 
 
+#: Columns that the stages read; the operators see others under plain names.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs):
+    """``docs`` with columns no stage reads renamed, so that they meet no other."""
+    return docs.toDF(*[c if c in USED else f"extra{i}" for i, c in enumerate(docs.columns)])
+
+
 def keep_quality(spark, docs, sf_dir):
     """Documents that the site quality classifier keeps."""
-    judged = judge_documents(docs, read(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*quoted(docs))
+    rows = apart(docs)
+    judged = judge_documents(rows, read(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def keep_distinct(spark, docs, sf_dir):
@@ -35,10 +45,11 @@ def keep_uncontaminated(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Each document as many times as the target weights take it."""
-    taken = mix(docs).where("copies > 0")
+    rows = apart(docs)
+    taken = mix(rows).where("copies > 0")
     return taken.select(
-        *quoted(docs), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")
-    ).select(*quoted(docs))
+        *rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")
+    ).select(*rows.columns).toDF(*docs.columns)
 
 
 def shard_shuffled(spark, docs, sf_dir):
