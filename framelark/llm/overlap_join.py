@@ -9,11 +9,12 @@ that is, when they share T = ceil(4(|A| + |B|) / 9) shingles. The work:
    those in any common order. The order puts shingles last that are frequent
    in a sample of documents; the sample changes the order, never the result.
 3. The prefixes of linked nodes share not one shingle but ``shared_prefix`` of
-   them, so pairs that meet in fewer lists are no candidates. The nodes of a
-   list are first compared with some drawn heads of it, again and again: large
-   groups of near copies grow together by numbers of pairs linear in their
-   size, until the pairs across components are few beside the lists (or a draw
-   links nothing). Then all pairs across components are compared.
+   them, so pairs that meet in fewer lists are no candidates, and rows of nodes
+   with fewer rows than a partner of any size in the list asks for are dropped.
+   The nodes are first compared with the best of some heads of their lists:
+   large groups of near copies grow together by numbers of pairs linear in their
+   size, until the pairs across components are few beside the lists or a draw
+   leaves most of them. Then all pairs across components are compared.
 4. Pairs are compared in blocks, one query node against some candidates, by
    DivideSkip: of the query's lists over the candidates the longest are set
    aside, the short ones are merged with a heap, and candidates with enough
@@ -38,8 +39,10 @@ LENGTH = 5
 SAMPLED = 16  # one document of so many tells which shingles are frequent
 FREQUENT = 3  # seen in so many sampled documents
 MOST_FREQUENT = 500_000  # bounds what is broadcast: 16 bytes each
-HEADS = 12  # nodes of a list that one draw compares with all others
+HEADS = 4  # nodes of a list that one draw offers to all others
+BEST = 2  # of the heads offered to a node, those it is compared with
 LINEAR = 8  # pairs across components, per row of the lists, that end the draws
+FEWER = 0.75  # a draw that leaves more of those pairs is the last
 BLOCK = 256  # candidates of one query compared in one group
 LONG_LISTS = 0.0085  # the published weight of the split into short and long lists
 LOWER = np.arange(256, dtype=np.uint8)
@@ -288,29 +291,47 @@ def _close(n: Column, m: Column) -> Column:
 
 
 def _head_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Nodes with some nodes of other components that stand first in a draw.
+    """Each node with at most ``BEST`` heads of its lists, those it meets most often.
 
-    A number of pairs linear in the lists; which of them, changes no result.
+    First the heads are the nodes with most rows in the lists: in a group of near
+    copies those nearest to what it was copied from. Later they are drawn. A number
+    of pairs linear in the nodes; which of them, changes no result.
     """
-    draw = Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    drawn = lists.withColumn("place", F.row_number().over(draw))
-    heads = drawn.where(F.col("place") <= HEADS).select(
+    rank = ([F.desc("rows")] if turn == 0 else []) + [F.xxhash64("node", F.lit(turn)), F.col("node")]
+    heads = lists.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy(*rank))).where(
+        F.col("place") <= HEADS).select(
         "h", F.col("node").alias("m"), F.col("n").alias("n_m"), F.col("root").alias("root_m"))
-    met = drawn.join(heads, "h").where("root <> root_m").where(
-        (F.col("place") > HEADS) | (F.col("m") < F.col("node"))
-    ).where(_close(F.col("n"), F.col("n_m"))).groupBy("node", "m", "n", "n_m").count()
+    met = lists.join(heads, "h").where("root <> root_m").where(
+        _close(F.col("n"), F.col("n_m"))).groupBy("node", "m", "n", "n_m").count()
     # Heads differ from list to list, so only a share of the meetings is seen.
-    return met.where(2 * F.col("count") >= shared_prefix(F.col("n"), F.col("n_m"))).select(
-        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
+    seen = met.where(2 * F.col("count") >= shared_prefix(F.col("n"), F.col("n_m")))
+    best = Window.partitionBy("node").orderBy(F.desc("count"), "m")
+    return seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST).select(
+        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
 def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with their nodes' components; lists of one component are done with."""
-    placed = staged(lists.drop("root").join(roots, "node", "left").select(
-        "h", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+    """The lists with their nodes' components, without rows that can link nothing more.
+
+    ``rows`` counts a node's rows. Two nodes that link meet ``shared_prefix`` times,
+    so a row stays only beside a size for which both it and some node of that size
+    in its list have as many; and a list only if it still has two components.
+    """
+    known = lists.drop("root", "rows").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    count = lists.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    placed = staged(known.join(count, "node").select("h", "node", "n", "rows", "root"))
+    sizes = staged(placed.groupBy("h", "n").agg(
+        F.max("rows").alias("most"), F.min("root").alias("x"), F.max("root").alias("y")))
+    other = sizes.select("h", F.col("n").alias("m"), F.col("most").alias("most_m"),
+                         F.col("x").alias("x_m"), F.col("y").alias("y_m"))
+    least = F.when(_close(F.col("n"), F.col("m")), shared_prefix(F.col("n"), F.col("m")))
+    wanted = sizes.join(other, "h").where(F.least("x", "x_m") < F.greatest("y", "y_m")).where(
+        F.least("most", "most_m") >= least).groupBy("h", "n").agg(F.min(least).alias("least"))
+    able = staged(placed.join(wanted, ["h", "n"]).where("rows >= least").drop("least"))
+    mixed = able.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
         "x <> y").select("h")
-    return staged(placed.join(mixed, "h"))
+    return staged(able.join(mixed, "h"))
 
 
 def _crossing(lists: DataFrame) -> int:
@@ -323,11 +344,13 @@ def _crossing(lists: DataFrame) -> int:
 def _cross_pairs(lists: DataFrame) -> DataFrame:
     """All pairs across components that meet in as many lists as linked ones must."""
     other = lists.select("h", F.col("root").alias("root_b")).distinct()
+    least = shared_prefix(F.col("n"), F.col("n_m"))
     met = lists.join(other, "h").where("root < root_b").join(lists.select(
         "h", F.col("root").alias("root_b"), F.col("node").alias("m"), F.col("n").alias("n_m"),
-    ), ["h", "root_b"]).where(_close(F.col("n"), F.col("n_m"))).groupBy(
-        "node", "m", "n", "n_m").count()
-    return met.where(F.col("count") >= shared_prefix(F.col("n"), F.col("n_m"))).select(
+        F.col("rows").alias("rows_m"),
+    ), ["h", "root_b"]).where(_close(F.col("n"), F.col("n_m"))).where(
+        F.least("rows", "rows_m") >= least).groupBy("node", "m", "n", "n_m").count()
+    return met.where(F.col("count") >= least).select(
         F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
 
 
@@ -359,16 +382,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lists = staged(by_set.select(F.explode("prefix").alias("h"), "node", "n").withColumn(
         "other", F.coalesce(F.lag("node").over(along), F.lead("node").over(along))
     ).where("other is not null").select("h", "node", "n", F.col("node").alias("root")))
-    bound = LINEAR * lists.count()
-    roots, turn = lists.select("node", "root").limit(0), 0
-    while True:  # large groups: some heads of each list against all its nodes
+    roots = lists.select("node", "root").limit(0)
+    lists = _with_roots(lists, roots)
+    bound, crossing, turn = LINEAR * lists.count(), _crossing(lists), 0
+    while crossing:  # large groups: some heads of each list against its nodes
         links = linked(_head_pairs(lists, turn), nodes, docs, doc_id, text)
         turn += 1
-        done = links.isEmpty()
-        if not done:
-            roots = staged(joined_components(roots, links))
-            lists = _with_roots(lists, roots)
-        if done or _crossing(lists) <= bound:
+        if links.isEmpty():
+            break
+        roots = staged(joined_components(roots, links))
+        lists = _with_roots(lists, roots)
+        before, crossing = crossing, _crossing(lists)
+        if crossing <= bound or crossing > FEWER * before:
             break
     more = linked(_cross_pairs(lists), nodes, docs, doc_id, text)  # all that is left
     if not more.isEmpty():
