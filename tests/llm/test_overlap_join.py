@@ -104,6 +104,30 @@ def test_frequent_shingles_change_nothing(make_docs, texts, monkeypatch):
     assert answer(make_docs(docs)) == brute(docs)
 
 
+def test_far_copies_of_one_original(make_docs, monkeypatch):
+    """300 copies, most with too many edits to link: pairs stay linear in them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        copy = list(words)
+        for at in rng.sample(range(150), i % 10):
+            copy[at] = f"v{rng.randrange(10 ** 6)}"
+        for j in range(rng.choice([0, 0, 0, 12])):
+            copy.append(f"t{j}")
+        texts.append(" ".join(copy))
+    docs = list(enumerate(texts))
+    compared, linked = [], join.linked
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return linked(pairs, *others)
+
+    monkeypatch.setattr(join, "linked", counted)
+    assert answer(make_docs(docs)) == brute(docs)
+    assert sum(compared) <= 12 * len(docs)
+
+
 def test_null_and_repeated_ids(make_docs):
     text = "one two three four five six seven eight nine ten"
     docs = [(5, text), (5, text), (5, "other words entirely in this one"), (None, text),
