@@ -223,3 +223,36 @@ def test_files_per_utterance(spark, make_frames, tmp_path):
         rate, x = binary.decode_wav(open(f"{tmp_path}/wav/{utt}.wav", "rb").read())
         assert rate == 8000
         np.testing.assert_allclose(x, data[:, 0] / 8, atol=1e-4)
+
+
+def test_many_ranges_and_files_are_dealt_to_few_tasks(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    for i in range(300):
+        np.save(tmp_path / "n" / f"a{i}.npy", np.arange(20.0).reshape(10, 2) + i)
+    rows = read_ranges(spark, f"{tmp_path}/n", "npy", range_bytes=50)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    got = sorted((r["utt"], r["frame_ix"], tuple(r["feats"])) for r in rows.collect())
+    assert got == sorted(
+        (f"a{i}", j, (2.0 * j + i, 2.0 * j + 1 + i)) for i in range(300) for j in range(10))
+
+
+def test_dealt_ranges_are_all_read_once_and_bounded():
+    files = [("a", 1_000_000), ("b", 5), ("c", 0), ("d", 3_000_000), ("e", 700)]
+    cuts = [ranges.FileRange(p, n, at, min(at + 1_000, n))
+              for p, n in files for at in range(0, max(n, 1), 1_000)]
+    for tasks, most in ((1, 10**9), (7, 10**9), (3, 600_000), (10**9, 10**9)):
+        parts = ranges.dealt(cuts, tasks, most)
+        pieces = [piece for part in parts for piece in part.pieces]
+        at = iter(pieces)
+        for path, size in files:
+            end = 0
+            while True:
+                piece = next(at)
+                assert (piece.path, piece.size, piece.begin) == (path, size, end)
+                end = piece.end
+                if end >= size:
+                    break
+        assert next(at, None) is None
+        for part in parts:
+            cost = sum(p.end - p.begin + ranges.OPEN_BYTES for p in part.pieces)
+            assert cost <= most or len(part.pieces) == 1 and cost <= 1_000 + ranges.OPEN_BYTES
