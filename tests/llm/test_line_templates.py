@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from framelark.llm.line_templates import drop_templates
+from framelark.llm.line_templates import document_lines, drop_templates, shared_leaves
 
 
 def brute(docs, depth=2, min_docs=3, similarity=0.6):
@@ -77,3 +77,29 @@ def test_null_and_repeated_rows(make_docs):
     assert rows == sorted([(1, 1, 0, line), (1, 1, 0, line), (2, 2, 1, "own words stay here"),
                            (None, 1, 1, ""), (3, 2, 0, "a\nb")], key=str)
     assert answer(make_docs(docs).where("false")) == []
+
+
+def test_gaps_and_numbers(make_docs):
+    """Words part at every kind of white space; a digit anywhere hides the whole word."""
+    lines = ["  page \t of\x0b\x0cbook x{}y  ", "page of book {}\r", "9{0} 8{0}a b{0} \u00e9t\u00e9 \u00a0 z"]
+    docs = [(d, "\n".join(x.format(d) for x in lines) + f"\n \t\nown {'abcde'[d]}{'vwxyz'[d]} text")
+            for d in range(5)]
+    want = brute(docs)
+    assert answer(make_docs(docs)) == want
+    assert sum(r[2] for r in want) == 9
+
+
+def test_lines_travel_as_strings(make_docs):
+    """A line is a string, not an array of its words, and its text is parsed once."""
+    lines = document_lines(make_docs([(1, "a b c 4\nd e f")]), "doc_id", "text", 2)
+    assert not [n for n, t in lines.dtypes if t.startswith("array")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(regexp_replace(") == 1
+
+
+def test_only_lines_of_shared_leaves_go_on(make_docs):
+    lines = document_lines(make_docs([
+        (1, "a b c\na b d\nx y z"), (2, "a b c\nx y z"), (3, "a b e\nlong a b c"), (None, "x y z 4")
+    ]), "doc_id", "text", 2)
+    got = sorted((r.doc, r.t) for r in shared_leaves(lines).collect())
+    assert got == [(1, "a b c"), (1, "a b d"), (2, "a b c"), (3, "a b e")]
