@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from framelark.llm.anchors import Bytes, removed, repeated_spans, row_hash
 from framelark.llm.common import packed, unpacked
+from framelark.llm.text import BASE
 
 WINDOW = 100
 SHARD_BYTES = 3 << 20
@@ -124,9 +125,39 @@ def repeat_groups(contents: list[bytes], window: int):
     return number, owner[place], place - begin[owner[place]], found[number, 2]
 
 
+def with_repeats(contents: list[bytes], unit: Bytes) -> np.ndarray:
+    """Numbers of the contents that hold a window found twice in all, by its hash.
+
+    Two windows of one hash keep a content too many, never one too few.
+    """
+    sizes = np.array([len(c) for c in contents], np.int64)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    grams, _, _ = unit.units(np.frombuffer(b"".join(contents), np.uint8), bounds)
+    count = np.maximum(sizes - unit.window + 1, 0)
+    owner = np.repeat(np.arange(len(contents)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - bounds[:-1], count)
+    value = np.zeros(max(0, int(bounds[-1]) - unit.window + 1), np.uint64)
+    for at in [*range(0, unit.window - unit.gram, unit.gram), unit.window - unit.gram]:
+        value = value * BASE + grams[at:at + len(value)]  # grams are mixed already
+    value = value[place]
+    ordered = np.sort(value)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    at = np.searchsorted(twice, value)
+    hit = at < len(twice)
+    hit[hit] = twice[at[hit]] == value[hit]
+    return np.unique(owner[hit])
+
+
 def earlier_repeats(contents: list[bytes], firsts: np.ndarray, unit: Bytes):
-    """Occurrences of maximal repeats that are not the first of their group."""
-    number, content, offset, length = repeat_groups(contents, unit.window)
+    """Occurrences of maximal repeats that are not the first of their group.
+
+    Contents without a repeated window share no repeat and are not indexed.
+    """
+    able = with_repeats(contents, unit)
+    if len(able) == 0:
+        return able, able, able
+    number, content, offset, length = repeat_groups([contents[i] for i in able], unit.window)
+    content = able[content]
     doc, start = firsts[content, 0], firsts[content, 1] + offset
     order = np.lexsort((start, doc, number))
     number, content, offset, length = (x[order] for x in (number, content, offset, length))

@@ -184,3 +184,23 @@ def test_no_shard_holds_all_borders_of_a_passage(make_docs, monkeypatch, module,
     monkeypatch.setattr(module, name, bounded)
     monkeypatch.setattr(anchors, "COMMON", common)
     assert of(make_docs(docs), shard_bytes=most // 8) == brute(docs)
+
+
+def test_only_contents_with_a_repeat_are_indexed(monkeypatch):
+    """Within a content or across two; a window at either end; too short ones."""
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    twice, border, within = own(100), own(130), own(101)
+    contents = [own(200), twice + own(60), own(99), own(40) + twice, b"", own(150), border,
+                border[:100], within + own(3) + within, twice[:99], own(100)]
+    firsts = np.stack([np.arange(11)[::-1], np.arange(11) * 1000], axis=1)
+    unit = anchors.Bytes(100)
+    assert repeat_intervals.with_repeats(contents, unit).tolist() == [1, 3, 6, 7, 8]
+    seen, groups = [], repeat_intervals.repeat_groups
+    monkeypatch.setattr(repeat_intervals, "repeat_groups", lambda c, w: seen.extend(c) or groups(c, w))
+    got = sorted(zip(*(x.tolist() for x in repeat_intervals.earlier_repeats(contents, firsts, unit))))
+    assert got == [(1, 0, 100), (6, 0, 100), (8, 104, 101)]
+    assert seen == [contents[i] for i in (1, 3, 6, 7, 8)]
+    none = repeat_intervals.earlier_repeats([own(99), own(300), b""], firsts, unit)
+    assert [len(x) for x in none] == [0, 0, 0]
+    assert repeat_intervals.with_repeats([b"ab", b"ab"], unit).tolist() == []
