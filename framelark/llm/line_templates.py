@@ -87,16 +87,16 @@ def recurring_lines(
         F.first("t").alias("t"), F.first("size").alias("size"), F.min(place).alias("place"))
     busy = staged(per_doc.groupBy("leaf", "h1", "h2").agg(
         F.first("t").alias("t"), F.first("size").alias("size"), F.min("place").alias("place"),
-        F.count(F.lit(1)).alias("n")))
+        F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     cells = busy.select(
-        "leaf", "h1", "h2", "n", F.posexplode(F.split("t", " ")).alias("at", "token")).where(
+        "leaf", "id", "n", F.posexplode(F.split("t", " ")).alias("at", "token")).where(
         F.col("token") != VARIABLE)
     constant = cells.groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).where(
         F.col("m") >= min_docs).drop("m")
     held = cells.join(constant.hint("merge"), ["leaf", "at", "token"], "left_semi").groupBy(
-        "leaf", "h1", "h2"
+        "id"
     ).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("held"))
-    found = staged(busy.drop("t").join(held.hint("merge"), ["leaf", "h1", "h2"]).where(
+    found = staged(busy.drop("t").join(held.hint("merge"), "id").where(
         F.size("held") >= similarity * F.col("size")
     ).select("leaf", "h1", "h2", "n", "place", "held", F.xxhash64("held").alias("template")))
     groups = found.groupBy("leaf", "template").agg(
