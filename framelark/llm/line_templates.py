@@ -25,8 +25,10 @@ VARIABLE = "<*>"
 SLOTS = 1 << 19
 #: A whole word with a digit.
 NUMBER = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
+DIGIT = "[0-9]"
 #: White space inside a line that is not one space.
 WIDE_GAP = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 DEPTH = 2
 MIN_DOCS = 3
 SIMILARITY = 0.6
@@ -35,9 +37,13 @@ LEAST_TOKENS = 3
 
 def masked(text: Column) -> Column:
     """The text with a word that has a digit as ``VARIABLE`` and every gap inside
-    a line as one space."""
-    numbers = F.regexp_replace(text, NUMBER, VARIABLE)
-    return F.regexp_replace(numbers, WIDE_GAP, " ")
+    a line as one space.
+
+    A text without a digit or without such a gap is not searched for words or gaps.
+    """
+    numbers = F.when(text.rlike(DIGIT), F.regexp_replace(text, NUMBER, VARIABLE)).otherwise(text)
+    wide = F.contains(text, F.lit("  ")) | text.rlike(OTHER_SPACE)
+    return F.when(wide, F.regexp_replace(numbers, WIDE_GAP, " ")).otherwise(numbers)
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
@@ -48,9 +54,11 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataF
     """
     texts = docs.select(
         F.col(doc_id).alias("doc"), F.xxhash64(doc_id, text).alias("row"),
-        masked(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    lines = texts.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    t = lines.select("doc", "row", "line_no", F.trim("line").alias("t"))
+        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    # Masked line by line: few have anything to mask. As part of the explosion,
+    # so that the filter below does not mask each line again.
+    t = texts.select("doc", "row", F.posexplode(
+        F.transform("lines", lambda line: F.trim(masked(line)))).alias("line_no", "t"))
     gaps = F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit("")))
     return t.withColumn("size", gaps + 1).where(F.col("size") >= LEAST_TOKENS).select(
         "doc", "row", "line_no", "t", "size",
