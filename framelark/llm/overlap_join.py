@@ -14,7 +14,8 @@ that is, when they share T = ceil(4(|A| + |B|) / 9) shingles. The work:
    The nodes are first compared with the best of some heads of their lists:
    large groups of near copies grow together by numbers of pairs linear in their
    size, until the pairs across components are few beside the lists or a draw
-   leaves most of them. Then all pairs across components are compared.
+   leaves most of them. Then all pairs across components are compared that may
+   meet often enough from their first list on, the shortest lists first.
 4. Pairs are compared in blocks, one query node against some candidates, by
    DivideSkip: of the query's lists over the candidates the longest are set
    aside, the short ones are merged with a heap, and candidates with enough
@@ -315,9 +316,10 @@ def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``rows`` counts a node's rows. Two nodes that link meet ``shared_prefix`` times,
     so a row stays only beside a size for which both it and some node of that size
-    in its list have as many; and a list only if it still has two components.
+    in its list have as many (``least``: the fewest of such a size); and a list only
+    if it still has two components. ``length`` is that of the list.
     """
-    known = lists.drop("root", "rows").join(roots, "node", "left").withColumn(
+    known = lists.select("h", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     count = lists.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
     placed = staged(known.join(count, "node").select("h", "node", "n", "rows", "root"))
@@ -328,9 +330,10 @@ def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
     least = F.when(_close(F.col("n"), F.col("m")), shared_prefix(F.col("n"), F.col("m")))
     wanted = sizes.join(other, "h").where(F.least("x", "x_m") < F.greatest("y", "y_m")).where(
         F.least("most", "most_m") >= least).groupBy("h", "n").agg(F.min(least).alias("least"))
-    able = staged(placed.join(wanted, ["h", "n"]).where("rows >= least").drop("least"))
-    mixed = able.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
-        "x <> y").select("h")
+    able = staged(placed.join(wanted, ["h", "n"]).where("rows >= least"))
+    mixed = able.groupBy("h").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("length"),
+    ).where("x <> y").select("h", "length")
     return staged(able.join(mixed, "h"))
 
 
@@ -341,17 +344,31 @@ def _crossing(lists: DataFrame) -> int:
     return held.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("x")).first()["x"] or 0
 
 
-def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs across components that meet in as many lists as linked ones must."""
-    other = lists.select("h", F.col("root").alias("root_b")).distinct()
-    least = shared_prefix(F.col("n"), F.col("n_m"))
-    met = lists.join(other, "h").where("root < root_b").join(lists.select(
+def _first_meetings(lists: DataFrame) -> DataFrame:
+    """``(node, m)`` once per list in which two nodes of different components may
+    meet for the first time, in one order of all lists that puts short ones first.
+
+    Linked nodes meet ``shared_prefix`` times, so both have as many rows from their
+    first meeting on. A node's last rows, after which too few follow for a partner
+    of any size, are not joined; most of them are those of the longest lists.
+    """
+    own = Window.partitionBy("node")
+    left = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("length", "h")) + 1
+    kept = staged(lists.select(
+        "h", "node", "n", "root", left.alias("left"), F.min("least").over(own).alias("least"),
+    ).where(F.col("left") >= F.col("least")).drop("least"))
+    other = kept.select("h", F.col("root").alias("root_b")).distinct()
+    return kept.join(other, "h").where("root < root_b").join(kept.select(
         "h", F.col("root").alias("root_b"), F.col("node").alias("m"), F.col("n").alias("n_m"),
-        F.col("rows").alias("rows_m"),
+        F.col("left").alias("left_m"),
     ), ["h", "root_b"]).where(_close(F.col("n"), F.col("n_m"))).where(
-        F.least("rows", "rows_m") >= least).groupBy("node", "m", "n", "n_m").count()
-    return met.where(F.col("count") >= least).select(
-        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
+        F.least("left", "left_m") >= shared_prefix(F.col("n"), F.col("n_m"))).select("node", "m")
+
+
+def _cross_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs across components that can meet in as many lists as linked ones must."""
+    return _first_meetings(lists).select(
+        F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -160,3 +160,41 @@ def test_components_joined_by_more_links(spark):
     got = join.joined_components(join.components(frame(first)), frame(more))
     want = join.components(frame(first + more))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nodes_with_the_same_long_lists_meet_only_in_short_ones(spark):
+    """Sets of 40 need 5 shared rows: 60 nodes share 4, each two of them 3 more."""
+    rows = [(h, node, 40) for node in range(60) for h in range(4)]
+    rows += [(100 + 10 * (node // 2) + i, node, 40) for node in range(60) for i in range(3)]
+    rows += [(1000 + 7 * k + i, node, 40) for k in range(20) for node in (k, k + 30) for i in range(2)]
+    lists = spark.createDataFrame(rows, "h long, node long, n long").withColumn("root", F.col("node"))
+    lists = join._with_roots(lists, lists.select("node", "root").limit(0))
+    shared = {n: {r[0] for r in rows if r[1] == n} for n in range(60)}
+    wanted = {(a, b) for a, b in itertools.combinations(range(60), 2) if len(shared[a] & shared[b]) >= 5}
+    assert {tuple(r) for r in join._cross_pairs(lists).collect()} >= wanted
+    assert len(wanted) > 30
+    # All meetings of two nodes in a list are over 7 000.
+    assert join._first_meetings(lists).count() <= 300
+
+
+def test_no_pair_that_meets_often_enough_is_left_out(spark):
+    rng = random.Random(5)
+    size = {node: rng.choice([20, 22, 25, 40, 44]) for node in range(80)}
+    rows = [(h, node, n) for node, n in size.items()
+            for h in rng.sample(range(30), n - (4 * n + 4) // 5 + 1)]
+    roots = spark.createDataFrame([(node, node % 9) for node in range(40)], "node long, root long")
+    lists = spark.createDataFrame(rows, "h long, node long, n long").withColumn("root", F.col("node"))
+    lists = join._with_roots(lists, roots)
+    shared = {node: {r[0] for r in rows if r[1] == node} for node in size}
+    root = {node: node % 9 if node < 40 else node for node in size}
+
+    def least(n, m):
+        t = (4 * (n + m) + 8) // 9
+        return min(t - (4 * x + 4) // 5 + 1 for x in (n, m))
+
+    wanted = {(a, b) for a, b in itertools.combinations(size, 2)
+              if root[a] != root[b] and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])
+              and len(shared[a] & shared[b]) >= least(size[a], size[b])}
+    assert len(wanted) > 50
+    found = [tuple(r) for r in join._cross_pairs(lists).collect()]
+    assert wanted <= set(found) and len(found) == len(set(found))
