@@ -25,10 +25,9 @@ VARIABLE = "<*>"
 SLOTS = 1 << 19
 #: A whole word with a digit.
 NUMBER = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
-DIGIT = "[0-9]"
 #: White space inside a line that is not one space.
 WIDE_GAP = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
-OTHER_SPACE = r"[\x09\x0B-\x0D]"
+DIGIT_OR_SPACE = r"[0-9\x09\x0B-\x0D]"
 DEPTH = 2
 MIN_DOCS = 3
 SIMILARITY = 0.6
@@ -39,11 +38,11 @@ def masked(text: Column) -> Column:
     """The text with a word that has a digit as ``VARIABLE`` and every gap inside
     a line as one space.
 
-    A text without a digit or without such a gap is not searched for words or gaps.
+    A text without a digit and without such a gap is not searched for words or gaps.
     """
-    numbers = F.when(text.rlike(DIGIT), F.regexp_replace(text, NUMBER, VARIABLE)).otherwise(text)
-    wide = F.contains(text, F.lit("  ")) | text.rlike(OTHER_SPACE)
-    return F.when(wide, F.regexp_replace(numbers, WIDE_GAP, " ")).otherwise(numbers)
+    numbers = F.regexp_replace(text, NUMBER, VARIABLE)
+    any_ = F.contains(text, F.lit("  ")) | text.rlike(DIGIT_OR_SPACE)
+    return F.when(any_, F.regexp_replace(numbers, WIDE_GAP, " ")).otherwise(text)
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
