@@ -1,5 +1,7 @@
 """Small numpy helpers for tasks: each works on one bounded batch or segment."""
 
+from functools import lru_cache
+
 import numpy as np
 
 # --- splines ----------------------------------------------------------------
@@ -260,3 +262,44 @@ def cosine_basis(n_coeff: int, n_bands: int) -> np.ndarray:
     basis = np.cos(np.pi * k * (j + 0.5) / n_bands) * np.sqrt(2 / n_bands)
     basis[0] /= np.sqrt(2)
     return basis
+
+
+# --- token sequences --------------------------------------------------------
+
+HASH_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
+def _powers_to(n: int, base: int = HASH_BASE) -> np.ndarray:
+    """Powers 0 to n of the base, modulo 2**64; those of common sizes are kept."""
+    common = 4 << 20
+    return _powers(common, base)[:n + 1] if n <= common else _powers.__wrapped__(n, base)
+
+
+def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Polynomial hash, modulo 2**64, of each text ``data[offsets[i]:offsets[i + 1]]``."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _powers_to(n)[:n], out=total[1:])
+    shift = _powers_to(n, pow(HASH_BASE, -1, 2**64))
+    return (total[offsets[1:]] - total[offsets[:-1]]) * shift[offsets[:-1]]
+
+
+def trigram_hashes(data: np.ndarray, offsets: np.ndarray, joiner: str) -> np.ndarray:
+    """64-bit hashes of every three consecutive tokens joined; equal strings, equal hashes."""
+    if len(offsets) < 4:
+        return np.zeros(0, np.uint64)
+    glue = np.frombuffer(joiner.encode(), np.uint8)
+    between = text_hashes(glue, np.array([0, len(glue)]))[0]
+    h, size = text_hashes(data, offsets), np.diff(offsets)
+    after = _powers_to(int(size.max()) + len(glue))
+    out = h[2:]
+    for at in (1, 0):
+        out = h[at:at + len(out)] + after[size[at:at + len(out)]] * (between + after[len(glue)] * out)
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))

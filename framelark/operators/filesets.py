@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions.scalars import natural_key
 from framelark.operators.exchange import even_out
-from framelark.operators.frames import number_rows, salted_join
+from framelark.operators.frames import SALTS, number_rows, salted_join
 from framelark.session import cut_lineage
 
 SETS = ("train", "validation", "test")
@@ -26,10 +26,25 @@ def document_frequency(index: DataFrame, limit: int = 9) -> DataFrame:
     )
 
 
+#: Rows from which on a triphone is dealt to several tasks, if at most
+#: ``HOT_KEYS`` triphones have as many.
+HOT = 100_000
+HOT_KEYS = 100_000
+
+
 def kept_index(index: DataFrame, limit: int = 9) -> DataFrame:
     """The index reduced to the triphones worth covering."""
-    kept = document_frequency(index, limit).select("triphone")
-    return salted_join(index, kept, ["triphone"], "left_semi", spread=F.col("utt"))
+    kept = cut_lineage(document_frequency(index, limit))
+    total = kept.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") > max(HOT, total // HOT_KEYS)
+    # Only hot triphones are copied, one to each salt.
+    last = F.when(hot, SALTS - 1).otherwise(0)
+    copies = kept.select("triphone", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
+    spread = F.pmod(F.xxhash64("utt"), F.lit(SALTS)).cast("int")
+    marked = index.join(
+        F.broadcast(kept.where(hot).select("triphone", F.lit(True).alias("_hot"))), "triphone", "left")
+    return marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).join(
+        copies, ["triphone", "_salt"], "left_semi").select(*index.columns)
 
 
 def gains(index: DataFrame, coverage: DataFrame, sets: Sequence[str] = SETS) -> DataFrame:

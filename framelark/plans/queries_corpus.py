@@ -177,11 +177,10 @@ def transcript_text(spark, sf_dir):
 # --- triphones and filesets -------------------------------------------------
 
 
-def _doc_index(spark, sf_dir):
-    tokens = F.split(F.btrim("text", F.lit(" \t\n\r")), "[ \t\n\r]+")
+def _doc_index(spark, sf_dir, limit=9):
+    """The index of the documents, less what ``limit`` documents cannot have."""
     docs = fr.spread(si.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    texts = docs.select(F.col("doc_id").alias("utt"), tokens.alias("tokens"))
-    return ph.token_triphones(texts, joiner=" ")
+    return ph.recurring_triphones(docs.withColumnRenamed("doc_id", "utt"), limit, joiner=" ")
 
 
 _DOC = """doc_tok AS (
