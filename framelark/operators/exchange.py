@@ -12,15 +12,45 @@ change no size; a few of them are tried, in seeded order, to get off a plateau.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelark.operators.frames import number_rows, salted_join
+from framelark.operators.frames import SALTS, number_rows, salted_join
 from framelark.session import cut_lineage
 
 #: Rounds without a smaller excess before the search is given up.
 PATIENCE = 12
 
 
-def _indexed(kept: DataFrame, sets: DataFrame) -> DataFrame:
-    return salted_join(kept, sets, ["utt"], spread=F.col("triphone"))
+#: Rows from which on an utterance or a triphone is dealt to several tasks.
+HOT = 100_000
+
+
+def _last_salt():
+    return F.when(F.col("n_tri") > HOT, SALTS - 1).otherwise(0)
+
+
+def placed(kept: DataFrame, rich: DataFrame) -> DataFrame:
+    """``kept`` dealt out by utterance and written, so that no round moves it again.
+
+    ``rich`` has ``n_tri`` of each utterance; a hot one goes to several tasks.
+    """
+    marked = kept.join(F.broadcast(rich.where(F.col("n_tri") > HOT)), "utt", "left")
+    salt = F.least(F.pmod(F.xxhash64("triphone"), F.lit(SALTS)).cast("int"), _last_salt())
+    conf = kept.sparkSession.conf
+    tasks = int(conf.get("spark.sql.shuffle.partitions"))
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # else Spark forgets how the rows were dealt out
+    try:
+        return cut_lineage(marked.select("utt", salt.alias("_salt"), "triphone").repartition(
+            tasks, "utt", "_salt").sortWithinPartitions("utt", "_salt"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def indexed(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``kept`` with the columns of their utterances; ``placed`` ones stay in place."""
+    if "_salt" not in kept.columns:
+        return salted_join(kept, sets, ["utt"], spread=F.col("triphone"))
+    copies = sets.withColumn("_salt", F.explode(F.sequence(F.lit(0), _last_salt())))
+    return kept.join(copies, ["utt", "_salt"]).drop("_salt")
 
 
 def _moved(sets: DataFrame, moves: DataFrame) -> DataFrame:
@@ -37,14 +67,14 @@ def leavers(kept: DataFrame, sets: DataFrame, candidate) -> DataFrame:
     """
     flagged = sets.withColumn("_c", candidate)
     order = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
-    stay = _indexed(kept, flagged).groupBy("set_name", "triphone").agg(
+    stay = indexed(kept, flagged).groupBy("set_name", "triphone").agg(
         F.min("_c").alias("all"), F.min(order).alias("w")
     ).where("all").select(F.col("w.utt").alias("utt")).distinct()
     return flagged.where("_c").drop("_c").join(stay, "utt", "left_anti")
 
 
 def covers(kept: DataFrame, sets: DataFrame, names: list[str]) -> bool:
-    n_sets = _indexed(kept, sets).groupBy("triphone").agg(
+    n_sets = indexed(kept, sets).groupBy("triphone").agg(
         F.count_distinct("set_name").alias("n")).where(F.col("n") < len(names))
     return n_sets.isEmpty()
 
@@ -56,7 +86,7 @@ def exchanges(kept: DataFrame, sets: DataFrame, crowded: str, held: list) -> Dat
     frees most. If v is bound at home, the u's listed with it have all that v
     alone had there.
     """
-    rows = _indexed(kept, sets)
+    rows = indexed(kept, sets)
     sole = cut_lineage(rows.groupBy("set_name", "triphone").agg(
         F.count(F.lit(1)).alias("c"), F.min("utt").alias("owner")
     ).where("c = 1").drop("c"))

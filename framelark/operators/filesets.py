@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import natural_key
-from framelark.operators.exchange import even_out
+from framelark.operators.exchange import HOT, even_out, indexed, placed
 from framelark.operators.frames import SALTS, number_rows, salted_join
 from framelark.session import cut_lineage
 
@@ -26,25 +26,29 @@ def document_frequency(index: DataFrame, limit: int = 9) -> DataFrame:
     )
 
 
-#: Rows from which on a triphone is dealt to several tasks, if at most
-#: ``HOT_KEYS`` triphones have as many.
-HOT = 100_000
+#: No more triphones than these count as hot.
 HOT_KEYS = 100_000
 
 
-def kept_index(index: DataFrame, limit: int = 9) -> DataFrame:
-    """The index reduced to the triphones worth covering."""
-    kept = cut_lineage(document_frequency(index, limit))
+def _numbered_index(index: DataFrame, limit: int) -> DataFrame:
+    """The kept index with a ``_number`` for each triphone."""
+    kept = cut_lineage(document_frequency(index, limit).withColumn(
+        "_number", F.monotonically_increasing_id()))
     total = kept.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = F.col("n") > max(HOT, total // HOT_KEYS)
     # Only hot triphones are copied, one to each salt.
     last = F.when(hot, SALTS - 1).otherwise(0)
-    copies = kept.select("triphone", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
+    copies = kept.select("triphone", "_number", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
     spread = F.pmod(F.xxhash64("utt"), F.lit(SALTS)).cast("int")
     marked = index.join(
         F.broadcast(kept.where(hot).select("triphone", F.lit(True).alias("_hot"))), "triphone", "left")
     return marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).join(
-        copies, ["triphone", "_salt"], "left_semi").select(*index.columns)
+        copies, ["triphone", "_salt"]).select(*index.columns, "_number")
+
+
+def kept_index(index: DataFrame, limit: int = 9) -> DataFrame:
+    """The index reduced to the triphones worth covering."""
+    return _numbered_index(index, limit).drop("_number")
 
 
 def gains(index: DataFrame, coverage: DataFrame, sets: Sequence[str] = SETS) -> DataFrame:
@@ -148,7 +152,7 @@ def _holders(kept: DataFrame, sets: DataFrame) -> DataFrame:
     first = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
     here = [F.col("set_name") == s for s in SETS]
     return cut_lineage(
-        with_set(kept, sets).groupBy("triphone").agg(
+        indexed(kept, sets).groupBy("triphone").agg(
             *[F.sum(h.cast("int")).alias(f"n_{s}") for s, h in zip(SETS, here)],
             *[F.min(F.when(h, first)).alias(f"w_{s}") for s, h in zip(SETS, here)],
         )
@@ -175,7 +179,7 @@ def _repair(kept: DataFrame, sets: DataFrame, holders: DataFrame, turn: int) ->
     """
     lacking = holders.select("triphone", _lacking().alias("wanted"))
     having = kept.join(lacking.select("triphone").distinct(), "triphone", "left_semi")
-    offers = with_set(having, sets).join(lacking, "triphone").join(
+    offers = indexed(having, sets).join(lacking, "triphone").join(
         _bound(holders), "utt", "left"
     )
     rank = F.struct(
@@ -223,13 +227,14 @@ def split_corpus(
         raise ValueError(f"pct_train must lie between 0 and 1, not {pct_train}")
     if limit < len(SETS):
         raise ValueError("limit must be at least 3")
-    kept = cut_lineage(kept_index(index, limit))
+    kept = cut_lineage(_numbered_index(index, limit).select("utt", F.col("_number").alias("triphone")))
     rich = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("n_tri"))
     base = utterances.select("utt").distinct().join(rich, "utt", "left")
     base = base.select(
         "utt", F.coalesce("n_tri", F.lit(0)).alias("n_tri"), _draw(F.col("utt"), seed).alias("draw")
     )
     base = cut_lineage(_numbered(cut_lineage(base), []))
+    kept = placed(kept, rich)
     sizes = target_sizes(base.count(), pct_train)
     if min(sizes.values()) == 0 and not kept.isEmpty():
         raise RuntimeError(f"an empty set covers no triphone: {sizes}")

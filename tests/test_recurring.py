@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelark.functions import kernels
+from framelark.operators import exchange
 from framelark.operators import filesets as fs
 from framelark.operators import phones as ph
 
@@ -69,3 +70,18 @@ def test_hot_triphones_are_dealt_out(spark, monkeypatch):
     plain = rows_of(fs.kept_index(index, 9))
     monkeypatch.setattr(fs, "HOT", 50)
     assert rows_of(fs.kept_index(index, 9)) == plain == rows_of(index.where("triphone != 'rare'"))
+
+
+def test_placed_index_stays_in_place(spark, monkeypatch):
+    """A round joins the sets to the index without moving the index; hot utterances too."""
+    rows = [(u, t) for u in range(40) for t in range(u % 7, 60, 3)] + [(None, 1)]
+    kept = spark.createDataFrame(rows, "utt long, triphone long")
+    rich = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("n_tri"))
+    sets = rich.where("utt is not null").withColumn("set_name", F.lit("train"))
+    want = rows_of(exchange.indexed(kept, sets).select("utt", "triphone", "set_name"))
+    monkeypatch.setattr(exchange, "HOT", 18)
+    joined = exchange.indexed(exchange.placed(kept, rich), sets.hint("merge"))
+    assert rows_of(joined.select("utt", "triphone", "set_name")) == want
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    index_side = plan.split("SortMergeJoin")[1].split("Scan ExistingRDD")[0]
+    assert "Exchange" not in index_side and "Sort [" not in index_side
