@@ -251,23 +251,33 @@ def repeated_spans(
     wanted = recurring.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
 
     def cut(batches):
+        """Pieces of the recurring anchors of each text, some texts at a time."""
         for batch in batches:
             raw = unpacked(batch.column(2))
-            lists = batch.column(3)
-            for d in range(batch.num_rows):
-                data = np.frombuffer(raw[d], np.uint8)
-                bounds = np.array([0, len(data)])
-                _, begin, stop, anchor, _, places = pieces(unit, data, bounds)
-                known = lists[d].values.to_numpy().view(np.uint64)
-                keep = np.flatnonzero(np.isin(anchor, known))
-                stop = stop + unit.window - 1
+            ends = np.cumsum([len(r) for r in raw])
+            at = 0
+            while at < len(raw):
+                done = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+                part, bounds = b"".join(raw[at:end]), np.append(0, ends[at:end] - done)
+                doc, begin, stop, anchor, _, places = pieces(unit, np.frombuffer(part, np.uint8), bounds)
+                lists = batch.column(3).slice(at, end - at)
+                known = lists.flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+                # The anchors as small numbers, so that one with its text is a number too.
+                values, number = np.unique(np.concatenate([known, anchor]), return_inverse=True)
+                pair = np.concatenate([owner, doc]) * len(values) + number
+                keep = np.flatnonzero(np.isin(pair[len(known):], pair[:len(known)]))
+                doc, begin, stop = doc[keep], begin[keep], stop[keep] + unit.window - 1
+                first = bounds if places is None else np.searchsorted(places[0], bounds)
+                rows = pa.array(at + doc)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor[keep].view(np.int64)),
-                    pa.array([unit.content(raw[d], places, begin[i], stop[i]) for i in keep], pa.binary()),
-                    pa.array(np.full(len(keep), batch.column(0)[d].as_py())),
-                    pa.array(np.full(len(keep), batch.column(1)[d].as_py())),
-                    pa.array(begin[keep]), pa.array((stop - begin)[keep]),
+                    pa.array([unit.content(part, places, a, b) for a, b in zip(begin, stop)], pa.binary()),
+                    batch.column(0).take(rows), batch.column(1).take(rows),
+                    pa.array(begin - first[doc]), pa.array(stop - begin),
                 ], names=["anchor", "content", "key", "doc", "start", "size"])
+                at = end
 
     def joined(batches):
         """Small batches go on as one."""
