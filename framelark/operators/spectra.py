@@ -75,7 +75,9 @@ def _stretched(sizes: DataFrame) -> DataFrame:
     """``(size, lag)`` for the lags from 1 - size to size - 1 of every length."""
     first = F.explode(F.sequence(1 - F.col("size"), F.col("size") - 1, F.lit(STRETCH)))
     last = F.least(F.col("_a") + (STRETCH - 1), F.col("size") - 1)
-    return sizes.select("size", first.alias("_a")).repartition("size", "_a").select(
+    # A stated number: by bytes these few rows, each of a stretch, would land in one task.
+    n_tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sizes.select("size", first.alias("_a")).repartition(n_tasks, "size", "_a").select(
         "size", F.explode(F.sequence("_a", last)).alias("lag"))
 
 
@@ -118,7 +120,8 @@ def dft(
     right = power_of_two_dft(kernel, ["size", "_log"], "_log").select(
         F.col("size").alias(size), "ix", F.col("re").alias("_re"), F.col("im").alias("_im")
     )
-    both = left.join(right, [size, "ix"]).select(
+    # Spark sizes the chirp by the few rows it is written out from and would broadcast it.
+    both = left.join(right.hint("merge"), [size, "ix"]).select(
         *keyed, "ix",
         (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"),
         (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"),

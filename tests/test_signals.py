@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions import kernels
 from framelark.operators import signals as sg
+from framelark.operators import spectra
 
 RNG = np.random.default_rng(7)
 
@@ -133,6 +134,21 @@ def test_long_series_of_many_lengths_share_a_plan(make_frames, collect):
     assert exchanges(out) == exchanges(two)
 
 
+def test_the_chirp_of_long_series_is_not_broadcast(make_frames, spark):
+    x = RNG.normal(size=(700, 1))
+    rows = make_frames({"u": x}).select(
+        "utt", F.lit(700).cast("long").alias("n"), F.col("frame_ix").alias("ix"),
+        F.get("feats", F.lit(0)).alias("re"), F.lit(0.0).alias("im"))
+    out = spectra.dft(rows, ["utt", "n"], "n", rows.select(F.col("n").alias("size")).distinct())
+    got = {r["ix"]: complex(r["re"], r["im"]) for r in out.collect()}
+    np.testing.assert_allclose([got[i] for i in range(700)], np.fft.fft(x[:, 0]), atol=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    lags = spectra._stretched(spark.range(1, 2).select((F.col("id") * 300_000).alias("size")))
+    assert lags.rdd.getNumPartitions() == 4  # not one for its few starting points
+    assert lags.count() == 599_999
+
+
 def test_resampling_a_periodic_sine_is_exact(make_frames, collect):
     t = np.arange(500) / 500
     got = collect(sg.resample(make_frames({"u": np.sin(2 * np.pi * 7 * t)[:, None]}), 500, 100, 1))
