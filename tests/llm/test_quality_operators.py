@@ -1,5 +1,6 @@
 """Token attribution and rule verdicts against plain Python."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -86,6 +87,61 @@ def test_verdicts_on_labelled_rows(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
 
 
+def test_all_labelled_rows_make_the_verdicts(spark):
+    n = 21_000
+    draw = np.random.default_rng(2)
+    words = draw.integers(0, 900, (n, 12))
+    odd = draw.random(n) < 0.01
+    texts = [" ".join((f"W{w}#" if o else "w" * (w % 9 + 1) + str(w)) for w in row) for row, o in zip(words, odd)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality = np.where(odd, draw.random(n) < 0.2, draw.random(n) < 0.95).astype(int)
+    labels = spark.createDataFrame(list(enumerate(quality.tolist())), "doc_id long, quality int")
+    rows = sorted(rules.quality_rules(docs, labels, tolerated=0.01, lost=0.05).collect())
+    counts = np.array([r[1:1 + len(rules.COUNTS)] for r in rows])
+    assert not any(r.base_failed for r in rows)
+    order = np.argsort([int(hashlib.md5(f"5:{i}".encode()).hexdigest()[:15], 16) for i in range(n)])
+    x, good = rules.shares(counts), quality > 0
+    limits = rules.usual(x[good], 0.01)
+    x = rules.excess(x, limits)
+    score = rules.anomaly(x, rules.grow(x[order], 5))
+    assert [r.anomaly for r in rows] == score.tolist()
+    assert [r.kept for r in rows] == (score <= rules.calibrate(score, good, 0.05)).tolist()
+
+
+def test_sums_over_weighed_rows_equal_those_over_all(spark):
+    draw = np.random.default_rng(4)
+    values, n = draw.integers(0, 50, (3_000, rules.STATISTICS)) / 7, draw.integers(1, 30, 3_000)
+    rows = spark.createDataFrame(
+        [(v.tolist(), int(k)) for v, k in zip(values, n)], "values array<double>, n long").repartition(5)
+    for tolerated in (0.0, 0.001, 0.3):
+        want = rules.usual(np.repeat(values, n, axis=0), tolerated)
+        assert rules.usual_of(rows, int(n.sum()), tolerated).tolist() == want.tolist()
+    score, good = draw.integers(1, 40, 3_000) / 41, draw.random(3_000) < 0.5
+    rows = spark.createDataFrame(
+        [(float(s), int(k * g), int(k * (not g))) for s, k, g in zip(score, n, good)],
+        "score double, good long, bad long")
+    for lost in (0.0, 0.1, 0.6):
+        want = rules.calibrate(np.repeat(score, n), np.repeat(good, n), lost)
+        assert rules.calibrated(rows, int(n[good].sum()), int(n[~good].sum()), lost) == want
+
+
+def test_trees_draw_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TREES", 5)
+    monkeypatch.setattr(rules, "SUBSAMPLE", 40)
+    n = 900
+    rows = spark.createDataFrame(
+        [((i << 50) + i, *[i] * len(rules.COUNTS), 1 + i % 2, True, [float(i)] * rules.STATISTICS)
+         for i in range(n)],
+        "place long, " + ", ".join(f"{c} long" for c in rules.COUNTS) + ", n long, good boolean, values array<double>")
+    whole = np.repeat(np.arange(n), 1 + np.arange(n) % 2)
+    x, drawn = rules.forest_rows(rows, len(whole), 3)
+    draw = np.random.Generator(np.random.PCG64(3))
+    for tree in drawn:
+        assert x[tree, 0].tolist() == whole[draw.choice(len(whole), 40, replace=False)].tolist()
+    few, drawn = rules.forest_rows(rows.where("n_words < 100"), 150, 3)
+    assert drawn is None and few[:, 2].tolist() == whole[:150].tolist()
+
+
 def test_rules_of_nothing(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert rules.quality_rules(make_docs(["a"]).where("false"), none).count() == 0
