@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.operators.frames import SALTS, number_rows, salted_join
-from framelark.session import cut_lineage
+from framelark.session import cut_lineage, shuffles_dropped, staged, unstaged
 
 #: Rounds without a smaller excess before the search is given up.
 PATIENCE = 12
@@ -39,8 +39,9 @@ def placed(kept: DataFrame, rich: DataFrame) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")  # else Spark forgets how the rows were dealt out
     try:
-        return cut_lineage(marked.select("utt", salt.alias("_salt"), "triphone").repartition(
-            tasks, "utt", "_salt").sortWithinPartitions("utt", "_salt"))
+        with shuffles_dropped(kept.sparkSession):
+            return cut_lineage(marked.select("utt", salt.alias("_salt"), "triphone").repartition(
+                tasks, "utt", "_salt").sortWithinPartitions("utt", "_salt"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -87,7 +88,7 @@ def exchanges(kept: DataFrame, sets: DataFrame, crowded: str, held: list) -> Dat
     alone had there.
     """
     rows = indexed(kept, sets)
-    sole = cut_lineage(rows.groupBy("set_name", "triphone").agg(
+    sole = staged(rows.groupBy("set_name", "triphone").agg(
         F.count(F.lit(1)).alias("c"), F.min("utt").alias("owner")
     ).where("c = 1").drop("c"))
     needs = sole.groupBy("set_name", "owner").agg(F.count(F.lit(1)).alias("n_need"))
@@ -105,7 +106,7 @@ def exchanges(kept: DataFrame, sets: DataFrame, crowded: str, held: list) -> Dat
     gain = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("gain"))
     best = pairs.join(gain, "v").groupBy("u").agg(
         F.max(F.struct("gain", "draw", "v", "home")).alias("b"))
-    chosen = cut_lineage(best.select(F.col("b.v").alias("v"), F.col("b.home").alias("home"), "u"))
+    chosen = staged(best.select(F.col("b.v").alias("v"), F.col("b.home").alias("home"), "u"))
     # What v alone has at home must be among what its u's bring there.
     bound = sole.withColumnsRenamed({"set_name": "home", "owner": "v"})
     brought = chosen.join(kept.withColumnRenamed("utt", "u"), "u").select("v", "home", "triphone").distinct()
@@ -116,20 +117,23 @@ def exchanges(kept: DataFrame, sets: DataFrame, crowded: str, held: list) -> Dat
 
 def _exchange(kept, sets, crowded: str, turn: int, tried: list) -> tuple[DataFrame | None, bool]:
     """Sets after one exchange and whether it freed more than it brought in."""
-    found = cut_lineage(exchanges(kept, sets, crowded, tried))
+    found = staged(exchanges(kept, sets, crowded, tried))
     best = found.groupBy("v", "home").agg(F.count(F.lit(1)).alias("gain")).orderBy(
         F.desc("gain"), F.xxhash64("v", F.lit(turn)), "v").limit(1).collect()
     if not best:
+        unstaged(found)
         return None, False
     v, home = best[0]["v"], best[0]["home"]
     tried.append(v)
     freed = found.where(F.col("v") == v).select(F.col("u").alias("utt"), F.lit(True).alias("_f"))
     here = F.when(F.col("utt") == v, crowded).otherwise(F.col("set_name"))
-    inside = cut_lineage(sets.withColumn("set_name", here).join(freed, "utt", "left").withColumn(
+    inside = staged(sets.withColumn("set_name", here).join(freed, "utt", "left").withColumn(
         "_f", F.coalesce("_f", F.lit(False))))
     going = leavers(kept, inside, F.col("_f")).select("utt", F.lit(home).alias("to"))
-    after = cut_lineage(_moved(inside.drop("_f"), going))
+    after = staged(_moved(inside.drop("_f"), going))
+    unstaged(found, inside)
     if not covers(kept, after, [r[0] for r in sets.select("set_name").distinct().collect()]):
+        unstaged(after)
         return sets, False
     return after, best[0]["gain"] > 1
 
@@ -161,7 +165,7 @@ def even_out(
         leaving = F.coalesce(
             *[F.when((F.col("set_name") == s) & (F.col("rank") < excess[s]), True) for s in over],
             F.lit(False))
-        pool = cut_lineage(number_rows(
+        pool = staged(number_rows(
             ranked.where(leaving).drop("rank"), [], ["draw", "utt"], bucket, "rank", "bigint"))
         # The pool is dealt to the sets that lack utterances, in the order of its ranks.
         target, start = F.lit(None).cast("string"), 0
@@ -170,8 +174,9 @@ def even_out(
                 here = (F.col("rank") >= start) & (F.col("rank") < start - e)
                 target = F.when(here, s).otherwise(target)
                 start -= e
-        sets = cut_lineage(_moved(sets, pool.select("utt", target.alias("to"))))
+        before, sets = sets, staged(_moved(sets, pool.select("utt", target.alias("to"))))
         n_pool = pool.count()
+        unstaged(before, pool)
         if n_pool == total:
             return sets
         crowded = max((s for s in over), key=lambda s: excess[s])
@@ -180,7 +185,9 @@ def even_out(
             break
         if after is None or freed:
             tried = tried[-1:] if freed else []
-        sets = sets if after is None else after
+        if after is not None and after is not sets:
+            unstaged(sets)
+            sets = after
     raise RuntimeError(
         f"{best} utterances too many in {'/'.join(over)}: no exchange found that keeps every "
         "triphone covered; raise the limit")

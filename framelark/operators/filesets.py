@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from framelark.functions.scalars import natural_key
 from framelark.operators.exchange import HOT, even_out, indexed, placed
 from framelark.operators.frames import SALTS, number_rows, salted_join
-from framelark.session import cut_lineage
+from framelark.session import staged, unstaged
 
 SETS = ("train", "validation", "test")
 
@@ -32,7 +32,7 @@ HOT_KEYS = 100_000
 
 def _numbered_index(index: DataFrame, limit: int) -> DataFrame:
     """The kept index with a ``_number`` for each triphone."""
-    kept = cut_lineage(document_frequency(index, limit).withColumn(
+    kept = staged(document_frequency(index, limit).withColumn(
         "_number", F.monotonically_increasing_id()))
     total = kept.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = F.col("n") > max(HOT, total // HOT_KEYS)
@@ -151,7 +151,7 @@ def _holders(kept: DataFrame, sets: DataFrame) -> DataFrame:
     """
     first = F.struct(-F.col("n_tri"), F.col("draw"), F.col("utt"))
     here = [F.col("set_name") == s for s in SETS]
-    return cut_lineage(
+    return staged(
         indexed(kept, sets).groupBy("triphone").agg(
             *[F.sum(h.cast("int")).alias(f"n_{s}") for s, h in zip(SETS, here)],
             *[F.min(F.when(h, first)).alias(f"w_{s}") for s, h in zip(SETS, here)],
@@ -195,7 +195,7 @@ def _repair(kept: DataFrame, sets: DataFrame, holders: DataFrame, turn: int) ->
         .agg(F.max_by("wanted", F.struct(F.col("gain"), F.col("wanted"))).alias("_to"))
     )
     moved = sets.join(moves, "utt", "left")
-    return cut_lineage(
+    return staged(
         moved.withColumn("set_name", F.coalesce("_to", "set_name")).drop("_to")
     )
 
@@ -227,14 +227,17 @@ def split_corpus(
         raise ValueError(f"pct_train must lie between 0 and 1, not {pct_train}")
     if limit < len(SETS):
         raise ValueError("limit must be at least 3")
-    kept = cut_lineage(_numbered_index(index, limit).select("utt", F.col("_number").alias("triphone")))
-    rich = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("n_tri"))
+    numbered = staged(_numbered_index(index, limit).select("utt", F.col("_number").alias("triphone")))
+    rich = numbered.groupBy("utt").agg(F.count(F.lit(1)).alias("n_tri"))
     base = utterances.select("utt").distinct().join(rich, "utt", "left")
     base = base.select(
         "utt", F.coalesce("n_tri", F.lit(0)).alias("n_tri"), _draw(F.col("utt"), seed).alias("draw")
     )
-    base = cut_lineage(_numbered(cut_lineage(base), []))
-    kept = placed(kept, rich)
+    drawn = staged(base)
+    base = staged(_numbered(drawn, []))
+    unstaged(drawn)
+    kept = placed(numbered, rich)
+    unstaged(numbered)
     sizes = target_sizes(base.count(), pct_train)
     if min(sizes.values()) == 0 and not kept.isEmpty():
         raise RuntimeError(f"an empty set covers no triphone: {sizes}")
@@ -248,9 +251,11 @@ def split_corpus(
     for turn in range(max_rounds):
         holders = _holders(kept, sets)
         if holders.select(_lacking()).limit(1).count() == 0:
+            unstaged(holders)
             sets = even_out(kept, sets, sizes, PLACES // 4096, 3 * max_rounds)
             return sets.select("utt", "set_name")
-        sets = _repair(kept, sets, holders, turn)
+        before, sets = sets, _repair(kept, sets, holders, turn)
+        unstaged(holders, before)
     raise RuntimeError(f"no covering split within {max_rounds} rounds; raise the limit")
 
 

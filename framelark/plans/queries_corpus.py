@@ -10,7 +10,7 @@ from framelark.plans import stand_ins as si
 from framelark.plans.loading import LoadingSetup, load_dataset, load_ema
 from framelark.plans.registry import channels, query, r6
 from framelark.plans.stand_ins import with_views
-from framelark.session import cut_lineage
+from framelark.session import staged
 
 SR = si.SAMPLING_RATE
 
@@ -206,7 +206,7 @@ def triphone_df(spark, sf_dir):
 SELECT utt, triphone FROM doc_tri WHERE triphone IN (
   SELECT triphone FROM doc_tri GROUP BY triphone HAVING count(*) >= 9)""")
 def triphone_index(spark, sf_dir):
-    return fs.kept_index(cut_lineage(_doc_index(spark, sf_dir)), 9)
+    return fs.kept_index(staged(_doc_index(spark, sf_dir)), 9)
 
 
 _INDEXED = with_views("fx_frames", "fx_phones", "fx_tri", "fx_sets")
@@ -263,7 +263,7 @@ def fileset_sizes(spark, sf_dir):
 def split_corpus(spark, sf_dir):
     """Covering split of the documents; the contract is tested, not the draw."""
     docs = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt"))
-    return fs.split_corpus(cut_lineage(_doc_index(spark, sf_dir)), docs, limit=9, seed=1)
+    return fs.split_corpus(staged(_doc_index(spark, sf_dir)), docs, limit=9, seed=1)
 
 
 @query("split_contract", f"""WITH {_DOC},
@@ -277,9 +277,9 @@ FROM (VALUES ('train'), ('validation'), ('test')) AS s(set_name), tot, kept""")
 def split_contract(spark, sf_dir):
     """What every covering split must show: set sizes, and all kept triphones in each."""
     docs = si.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt"))
-    index = cut_lineage(_doc_index(spark, sf_dir))
+    index = staged(_doc_index(spark, sf_dir))
     sets = fs.split_corpus(index, docs, limit=9, seed=1)
-    kept = fs.kept_index(index, 9).join(sets, "utt").select("set_name", "triphone").distinct()
+    kept = staged(fs.kept_index(index, 9)).join(sets, "utt").select("set_name", "triphone").distinct()
     covered = kept.groupBy("set_name").agg(F.count(F.lit(1)).alias("n_triphones"))
     sizes = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("n_utts"))
     return sizes.join(covered, "set_name")

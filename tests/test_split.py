@@ -1,3 +1,7 @@
+import os
+import time
+import urllib.parse
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +38,28 @@ def test_contract(spark, index, utterances, pct, seed):
     assert kept.select("triphone").distinct().count() > 10
 
 
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = blocks.getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_rounds_leave_no_files(spark, index, utterances):
+    """What a round wrote goes when the next one has been written, on disk and in the shuffles."""
+    index.count()
+    fs.staged(spark.range(1))
+    folder = urllib.parse.urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path
+    before, shuffled = set(os.listdir(folder)), shuffle_files(spark)
+    sets = fs.split_corpus(index, utterances, 0.7, limit=9, seed=1)
+    left = set(os.listdir(folder)) - before
+    assert len(left) <= 5  # document frequencies, utterances, the index by number, the sets
+    fs.staged(sets.limit(1))
+    until = time.time() + 3
+    while shuffle_files(spark) - shuffled and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - shuffled
+
+
 def test_reproducible_and_seeded(index, utterances):
     one, same, other = (
         {tuple(r) for r in fs.split_corpus(index, utterances, seed=s).collect()} for s in (1, 1, 2)
