@@ -159,7 +159,7 @@ def even_out(
         best = total if best is None else min(best, total)
         if waited > PATIENCE:
             break
-        free = leavers(kept, sets, F.col("set_name").isin(over))
+        free = staged(leavers(kept, sets, F.col("set_name").isin(over)))  # numbering reads it four times
         bucket = F.floor(F.col("draw") / buckets)
         ranked = number_rows(free, ["set_name"], ["draw", "utt"], bucket, "rank", "bigint")
         leaving = F.coalesce(
@@ -176,7 +176,7 @@ def even_out(
                 start -= e
         before, sets = sets, staged(_moved(sets, pool.select("utt", target.alias("to"))))
         n_pool = pool.count()
-        unstaged(before, pool)
+        unstaged(before, free, pool)
         if n_pool == total:
             return sets
         crowded = max((s for s in over), key=lambda s: excess[s])
